@@ -31,6 +31,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_tokens, op6_decontaminate)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.deduplicate(read_table(spark, sf_dir, "documents"), stage=Stage(spark, "op7"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_tokens, op6_decontaminate, op7_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
