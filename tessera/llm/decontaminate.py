@@ -265,7 +265,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig =
 
 
 def _without(text: bytes, spans: list[list[int]]) -> str:
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text.lower())]
     out, at = [], 0
     for a, b in spans:
         out.append(text[at : places[a][0]])
