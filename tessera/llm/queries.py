@@ -37,6 +37,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(read_table(spark, sf_dir, "documents"), stage=Stage(spark, "op7"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_tokens, op6_decontaminate, op7_simhash)}
+def op10_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import projection
+
+    return projection.deduplicate(read_table(spark, sf_dir, "embeddings"), stage=Stage(spark, "op10"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_tokens, op6_decontaminate, op7_simhash, op10_projection)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import Stage, as_bytes, int64, partitions, slices
+from .common import Stage, as_bytes, int64, partitions
 from .components import components
+from .grouping import Forest, groups
 
 
 @dataclass(frozen=True)
@@ -131,59 +132,15 @@ def _sharded(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select(F.explode(keys).alias("k"), "fp").select("k.table", "k.key", "fp")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str], most: int) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
-    """Runs of equal keys in sorted batches, in pieces of at most ``most`` rows: values, is first, is last."""
-    held: list[np.ndarray] | None = None
-    held_key, first = None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.asarray(batch.column(k)) for k in keys]
-        vals = [np.asarray(batch.column(v)) for v in values]
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            key = tuple(c[a] for c in cols)
-            if held is not None and key != held_key:
-                yield held, first, True
-                held, first = None, True
-            held = [v[a:b] for v in vals] if held is None else [np.concatenate([h, v[a:b]]) for h, v in zip(held, vals)]
-            held_key = key
-            while len(held[0]) > most:
-                yield [h[:most] for h in held], first, False
-                held, first = [h[most:] for h in held], False
-    if held is not None:
-        yield held, first, True
-
-
-def _union(values: list[int], found: Iterator[tuple[int, int]] | list, parent: dict[int, int]) -> Iterator[tuple[int, int]]:
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in found:
-        ra, rb = top(a), top(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            yield a, b
-
-
 def _tree_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning set of the links among the fingerprints of one shard."""
     mask = (1 << 64) - 1
     plain = [int(v) & mask for v in values]
     if len(plain) == 2:
         return [(plain[0], plain[1])] if (plain[0] ^ plain[1]).bit_count() <= radius else []
-    tree, parent, out = BKTree(), {}, []
+    tree, forest, out = BKTree(), Forest(), []
     for v in plain:
-        if v in parent:
-            continue
-        parent[v] = v
-        out += _union(plain, [(v, u) for _, u in tree.within(v, radius)], parent)
+        out += forest.spanning((v, u) for _, u in tree.within(v, radius))
         tree.add(v)
     return out
 
@@ -201,7 +158,7 @@ def links(fps: DataFrame, stage: Stage, config: SimHashConfig = SimHashConfig())
         most = 1 << 13 if last else config.tree
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (values,), first, end in _groups(batches, ["table", "key"], ["fp"], most):
+            for _, (values,), first, end in groups(batches, ["table", "key"], ["fp"], most):
                 if first and end:
                     if len(values) > 1 and (got := _tree_links(values, config.radius)):
                         yield pa.RecordBatch.from_arrays([int64([signed(a) for a, _ in got]), int64([signed(b) for _, b in got])], ["a", "b"])
@@ -313,7 +270,7 @@ def near_duplicates(docs: DataFrame, config: SimilarConfig = SimilarConfig(), st
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead = None
-        for (whole, fp), first, _ in _groups(batches, ["key"], ["whole", "fp"], config.tree):
+        for _, (whole, fp), first, _ in groups(batches, ["key"], ["whole", "fp"], config.tree):
             pairs = _nearest(whole, fp, config.radius)
             if not first and ahead is not None:  # pieces of a large shard hang together by their first members
                 pairs.append((ahead, int(whole[0])))
@@ -356,9 +313,8 @@ def _nearest(whole: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int,
         found += [(d, by_fp[u], i) for d, u in near]
         by_fp[v] = i
         tree.add(v)
-    parent = {i: i for i in by_fp.values()}
     found.sort()
-    out += [(int(whole[a]), int(whole[b])) for a, b in _union([], [(a, b) for _, a, b in found], parent)]
+    out += [(int(whole[a]), int(whole[b])) for a, b in Forest().spanning((a, b) for _, a, b in found)]
     return out
 
 
