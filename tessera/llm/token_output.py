@@ -15,8 +15,9 @@ the tokenizer has ids, so it may be broadcast whatever the input.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ END_ID = 1
 #: Ids in a block, unless a single document has more.
 BLOCK_IDS = 1 << 17
 #: Words whose ids a worker remembers before it starts anew.
-MEMO = 700_000
+MEMO = 1_000_000
 SCHEMA = "shard int, block int, shard_start long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
 
@@ -45,43 +46,72 @@ class TokenConfig:
     block_ids: int = BLOCK_IDS
 
 
+#: Words of ASCII and the accented letters of Latin-1 only, and their pre-token pieces (lower case).
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level models write for each byte: printable ones stand for themselves."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class WordEncoder:
     """Encodes texts through a memo of white-space-separated words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in
-    order; only words not met before reach the library. Texts that hold a special token's string go to
-    the library whole.
+    order; only words not met before are worked on. Words of common letters are cut into pre-token pieces
+    here and go straight to the library's model, piece by piece; all other words, and texts that hold a
+    special token's string, go through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return found
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        memo, piece, others = self.memo, self._piece, []
+        for word in words:
+            text = word.decode()
+            if PLAIN.fullmatch(text):
+                memo[word] = b"".join([piece(p) for p in PIECE.findall(text.lower())])
+            else:
+                others.append(word)
+        for word, found in zip(others, self.library.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
+            memo[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        # only ASCII white space ends a word here; the rest is left to the library
+        # only ASCII white space ends a word here; other white space is left to the library
         split = [[] if i in whole else t.encode().split() for i, t in enumerate(texts)]
         memo = self.memo
         new = {w for words in split for w in words if w not in memo}
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = {w for words in split for w in words}
-            self._learn(sorted(new))
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = {w for words in split for w in words}
+        self._learn(new)
         out = [np.frombuffer(b"".join([memo[w] for w in words]), "<u4") for words in split]
         for i in whole:
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4")
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for word, found in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[word] = np.array(found.ids, "<u4").tobytes()
-
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

@@ -74,6 +74,19 @@ def test_tokens_against_library(spark, block_ids):
     assert to.token_digest(*to.write_tokens(docs_of(spark, []), to.TokenConfig(path), Stage(spark, "test"))).count() == 0
 
 
+def test_word_encoder():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), to.WordEncoder(path)
+    rng = np.random.default_rng(2)
+    alphabet = list("abcXYZ019'!.,-_ \n\t\x0b\x1c\x85\xa0ÀÿßÖ×÷µªİıΣςе\u0301漢ﬁ½²\U0001f600") + ["'s", "'ll", "'RE", "  ", "don't", "</w>", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 30)))) for _ in range(4000)]
+    for text, got in zip(texts, words.encode(texts)):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def plain_contamination(docs, items, window=10):
     rx = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: rx.findall((t or "").encode().lower())
