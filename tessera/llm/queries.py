@@ -25,6 +25,12 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.token_digest(blocks, ranks)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.conversations_digest(read_table(spark, sf_dir, "conversations"), Stage(spark, "op5"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as d
 
@@ -43,6 +49,24 @@ def op10_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.deduplicate(read_table(spark, sf_dir, "embeddings"), stage=Stage(spark, "op10"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_tokens, op6_decontaminate, op7_simhash, op10_projection)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op10_projection)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), esc AS (
+  SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '\\l\1', 'gi'), '\[(/?INST\])', '\\b\1', 'gi')) AS n_text,
+    length(regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(/?s>)', '\\l\1', 'gi'), '\[(/?INST\])', '\\b\1', 'gi')) AS n_role
+  FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n_text + n_role + 23)::BIGINT AS formatted_chars
+FROM esc GROUP BY conv_id
+""",
+}
