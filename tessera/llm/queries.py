@@ -15,6 +15,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), stage=Stage(spark, "op1"), digest=True)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(docs)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -61,7 +68,7 @@ def op10_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.deduplicate(read_table(spark, sf_dir, "embeddings"), stage=Stage(spark, "op10"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op9_main_text, op10_projection)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op9_main_text, op10_projection)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": r"""
