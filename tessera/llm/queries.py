@@ -56,6 +56,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(read_table(spark, sf_dir, "documents"), stage=Stage(spark, "op7"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chaining
+
+    return chaining.passages(read_table(spark, sf_dir, "documents"), stage=Stage(spark, "op8"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_blocks
 
@@ -68,7 +74,7 @@ def op10_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.deduplicate(read_table(spark, sf_dir, "embeddings"), stage=Stage(spark, "op10"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op9_main_text, op10_projection)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op8_passages, op9_main_text, op10_projection)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": r"""
