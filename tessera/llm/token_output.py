@@ -32,8 +32,8 @@ from .common import Stage, int64, partitions, schema_with
 END_ID = 1
 #: Ids in a block, unless a single document has more.
 BLOCK_IDS = 1 << 17
-#: Words whose ids a worker remembers before it starts anew.
-MEMO = 1_000_000
+#: Words and pieces of words whose ids a worker remembers before it starts anew; about 200 bytes each.
+MEMO, PIECES = 500_000, 400_000
 SCHEMA = "shard int, block int, shard_start long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
 
@@ -85,7 +85,7 @@ class WordEncoder:
         return found
 
     def _learn(self, words: Iterable[bytes]) -> None:
-        if len(self.pieces) > MEMO:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
         memo, piece, others = self.memo, self._piece, []
         for word in words:
