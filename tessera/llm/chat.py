@@ -88,15 +88,15 @@ def reply_paths(messages: DataFrame, stage: Stage, best: int | None = None) -> D
     # run: ancestors from the message upwards; next: the ancestor after them, null at the root
     runs = stage.write(linked.select("tree", "msg", F.array("msg").alias("run"), F.col("score").alias("total"), F.col("parent").alias("next")), "runs-0")
     leaves = linked.join(linked.where("parent is not null").select("tree", F.col("parent").alias("msg")).distinct(), ["tree", "msg"], "left_anti").select("tree", "msg")
-    level = 0
-    while not runs.where("next is not null").isEmpty():
-        upper = runs.select("tree", F.col("msg").alias("next"), F.col("run").alias("more"), F.col("total").alias("plus"), F.col("next").alias("then"))
-        joined = runs.join(upper, ["tree", "next"], "left")
-        longer = F.concat("run", F.coalesce("more", F.array().cast("array<bigint>")))
+    done, level = runs.where("next is null"), 0
+    while not (active := runs.where("next is not null")).isEmpty():
+        whole = done.unionByName(active)  # runs that reach their roots rest; the others double
+        upper = whole.select("tree", F.col("msg").alias("next"), F.col("run").alias("more"), F.col("total").alias("plus"), F.col("next").alias("then"))
+        joined = active.join(upper, ["tree", "next"])
         level += 1
-        runs = stage.write(joined.select("tree", "msg", longer.alias("run"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"), F.col("then").alias("next")), f"runs-{level}")
-        stage.drop(f"runs-{level - 1}")
-    ranked = runs.join(leaves, ["tree", "msg"], "left_semi").withColumn("path", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "msg")) - 1)
+        runs = stage.write(joined.select("tree", "msg", F.concat("run", "more").alias("run"), (F.col("total") + F.col("plus")).alias("total"), F.col("then").alias("next")), f"runs-{level}")
+        done = done.unionByName(runs.where("next is null"))
+    ranked = done.join(leaves, ["tree", "msg"], "left_semi").withColumn("path", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "msg")) - 1)
     if best is not None:
         ranked = ranked.where(F.col("path") < best)
     return ranked.select("tree", "path", F.posexplode(F.reverse("run")).alias("place", "msg"))
