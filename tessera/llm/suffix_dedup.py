@@ -150,7 +150,9 @@ def multikey_quicksort(words: list[np.ndarray]) -> np.ndarray:
 def _sorted_buckets(suffixes: DataFrame) -> DataFrame:
     """Covered (kind 0), open (1) and boundary (2) suffixes; those whose lead occurs once are gone.
 
-    An open lead keeps one suffix of each stretch that is covered as well, to compare with.
+    An open lead keeps one suffix of each stretch that is covered as well, to compare with. Stretches can go
+    on in the next bucket only from a bucket's last one, and in the one before only from its first: these give
+    a boundary row each, with the copies in the bucket and whether their lead has other stretches there.
     """
     spark = suffixes.sparkSession
     names = suffixes.columns
@@ -169,27 +171,30 @@ def _sorted_buckets(suffixes: DataFrame) -> DataFrame:
         new_span = new_lead | np.concatenate([[True], span[1:] != span[:-1]])
         lead_no, span_no = np.cumsum(new_lead) - 1, np.cumsum(new_span) - 1
         copies = np.bincount(span_no)[span_no]
-        kinds_of_span = np.bincount(lead_no[new_span])[lead_no]
-        edge = (lead_no == 0) | (lead_no == lead_no[-1])
-        taken = [(0, ~edge & (copies > 1)), (1, ~edge & (kinds_of_span > 1) & ((copies == 1) | new_span)), (2, edge)]
+        several = np.bincount(lead_no[new_span])[lead_no] > 1
+        edge = (span_no == 0) | (span_no == span_no[-1])
+        taken = [(0, copies > 1), (1, ~edge & several & ((copies == 1) | new_span)), (2, edge & new_span)]
         for kind, mask in taken:
-            if mask.any():
-                rows = table.take(pa.array(order[mask])).combine_chunks()
-                for batch in rows.to_batches(1 << 14):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, kind, np.int32)), *batch.columns], ["kind", *names])
+            at = np.flatnonzero(mask)
+            for a in range(0, len(at), 1 << 14):
+                some = at[a : a + (1 << 14)]
+                rows = table.take(pa.array(order[some]))
+                columns = [c.combine_chunks() for c in rows.columns]
+                columns = [pa.array(np.full(len(some), kind, np.int32)), int64(copies[some]), pa.array(several[some]), *columns]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "copies", "several", *names])
 
-    return dealt.mapInArrow(run, "kind int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema))
+    return dealt.mapInArrow(run, "kind int, copies long, several boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema))
 
 
 def _settle_edges(edges: DataFrame) -> DataFrame:
-    """The boundary suffixes as covered or open: runs of equal leads are compared across the buckets."""
-    per_span = edges.groupBy(*WORDS, "span").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "row", "place")).alias("one"))
-    per_lead = per_span.groupBy(*WORDS).agg(F.count("*").alias("spans"))
+    """The boundary suffixes, two a bucket at most, as covered or open: runs are compared across the buckets."""
+    per_span = edges.groupBy(*WORDS, "span").agg(F.sum("copies").alias("all"), F.min(F.struct("doc", "row", "place")).alias("one"))
+    here = edges.groupBy(*WORDS).agg(F.max("several").alias("any"))
+    per_lead = per_span.groupBy(*WORDS).agg(F.count("*").alias("spans")).join(here, WORDS)
     known = edges.join(per_span.join(per_lead, WORDS), [*WORDS, "span"])
-    names = ["kind", *[c for c in edges.columns if c != "kind"]]
-    covered = known.where("copies > 1").withColumn("kind", F.lit(0)).select(names)
-    still = (F.col("copies") == 1) | (F.struct("doc", "row", "place") == F.col("one"))
-    return covered.unionByName(known.where((F.col("spans") > 1) & still).withColumn("kind", F.lit(1)).select(names))
+    covered = known.where("copies = 1 and `all` > 1").withColumn("kind", F.lit(0)).select(edges.columns)
+    one = F.struct("doc", "row", "place") == F.col("one")
+    return covered.unionByName(known.where((F.col("any") | (F.col("spans") > 1)) & one).withColumn("kind", F.lit(1)).select(edges.columns))
 
 
 def _with_bytes(docs: DataFrame, open_: DataFrame, config: RepeatConfig) -> DataFrame:
