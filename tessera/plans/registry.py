@@ -1,4 +1,31 @@
 """All registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers f(read) under its name; read(table) gives a table of the data set."""
+
+    def register(f):
+        key = name or f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        run.__name__, run.__doc__ = key, f.__doc__
+        QUERIES[key] = run
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return register
+
+
+from . import corpus_queries, retrieval_queries, table_queries  # noqa: E402, F401
