@@ -60,16 +60,20 @@ def _repeats(line: str) -> list[tuple[int, int]]:
     total = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
     found = []
     most = min(PHRASE_CHARS, len(codes) // 2)
+    ahead = np.concatenate([codes, np.zeros(most + 2, np.uint32)])
+    behind = np.concatenate([np.full(most, 1 << 31, np.uint32), codes])  # no text has this code
+    length = np.arange(3, most + 1)
     for a in range(0, len(spaces), 512):
-        j = spaces[a : a + 512, None]
-        length = np.arange(3, most + 1)[None, :]
-        i, end = j - length, j + 1 + length
+        j = spaces[a : a + 512]
+        grid = behind[(j[:, None] - length[None, :]) + most] == codes[np.minimum(j + 1, len(codes) - 1)][:, None]
+        grid &= ahead[j[:, None] + length[None, :]] == codes[np.maximum(j - 1, 0)][:, None]
+        x, y = np.nonzero(grid)  # both ends alike; the rest is compared by hash
+        j, n = j[x], length[y]
+        i, end = j - n, j + 1 + n
         ok = (i >= 0) & (end <= len(codes))
-        i, end = np.maximum(i, 0), np.minimum(end, len(codes))
-        same = (total[j] - total[i]) * powers[length + 1] == total[end] - total[j + 1]
-        ok &= same & ~blank[i] & ~blank[np.maximum(j - 1, 0)]
-        x, y = np.nonzero(ok)
-        first, n = i[x, y], length[0, y]
+        i, j, n, end = i[ok], j[ok], n[ok], end[ok]
+        same = ((total[j] - total[i]) * powers[n + 1] == total[end] - total[j + 1]) & ~blank[i] & ~blank[j - 1]
+        first, n = i[same], n[same]
         words = starts[first + n - 1] - starts[first]
         found += [(int(p), int(w), -int(k)) for p, w, k in zip(first, words, n) if w > 0]
     out, at = [], 0

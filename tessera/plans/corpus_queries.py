@@ -237,28 +237,21 @@ SELECT item_id, count(doc_id) AS docs, min(doc_id) AS first_doc FROM b LEFT JOIN
 def quote_in_context(read):
     """Documents that quote each item, after normalisation.
 
-    Candidates share the item's eight first words, in a join; only they are searched for the whole quote.
+    The first and last word of a quote may be part of a longer word of the text, but its inner words stand
+    alone there: the second to fourth words (or the second) key a join, and only its pairs are searched.
     """
-    words = lambda x: F.split(x, " ")
-    items = read("benchmark").select("item_id", t.normalize_quote(t.nfkc("text")).alias("q")).where("q <> ''")
-    lengths = [r.n for r in items.select(F.least(F.size(words("q")), F.lit(8)).alias("n")).distinct().collect()]
-    docs = read("documents").select("doc_id", t.normalize_quote(t.nfkc("text")).alias("t"))
-    keyed = items.select("item_id", "q", F.least(F.size(words("q")), F.lit(8)).alias("n")).withColumn("key", F.concat_ws(" ", F.slice(words("q"), 1, F.col("n"))))
-    found = None
-    for n in lengths:
-        inner = keyed.where(F.col("n") == n)
-        # the first and last word of a quote may be part of a longer word of the text; inner words stand alone
-        key = F.concat_ws(" ", F.slice(words("q"), 2, max(1, n - 2))) if n > 2 else None
-        if key is None:
-            part = inner.join(docs, F.expr("contains(t, q)")).select("item_id", "doc_id")
-        else:
-            grams = docs.select("doc_id", F.explode(F.array_distinct(t.ngrams(words("t"), n - 2))).alias("gram"))
-            pairs = grams.join(inner.select("item_id", key.alias("gram")), "gram").select("item_id", "doc_id").distinct()
-            part = pairs.join(docs, "doc_id").join(inner.select("item_id", "q"), "item_id").where(F.expr("contains(t, q)")).select("item_id", "doc_id")
-        found = part if found is None else found.unionByName(part)
-    counts = found.groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")) if found is not None else None
-    ids = read("benchmark").select("item_id")
-    return ids.join(counts, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), "first_doc")
+    items = read("benchmark").select("item_id", t.normalize_quote(t.nfkc("text")).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
+    docs = read("documents").select("doc_id", "text")
+    normal = t.normalize_quote(t.nfkc("text")).alias("t")
+    key = F.when(F.size("w") >= 5, F.concat_ws(" ", F.slice("w", 2, 3))).when(F.size("w") >= 3, F.element_at("w", 2)).otherwise(F.lit(""))
+    keyed = items.select("item_id", key.alias("gram"))
+    words = docs.select("doc_id", F.split(normal, " ").alias("w"))
+    # the empty key is that of items without inner words, which any text may quote
+    grams = words.select("doc_id", F.explode(F.array_distinct(F.concat(t.ngrams(F.col("w"), 3), F.col("w"), F.array(F.lit(""))))).alias("gram"))
+    near = grams.join(keyed, "gram").select("item_id", "doc_id").distinct()
+    pairs = near.join(docs, "doc_id").select("item_id", "doc_id", normal).join(items.select("item_id", "q"), "item_id").where(F.expr("contains(t, q)"))
+    counts = pairs.groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return read("benchmark").select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), "first_doc")
 
 
 def _reply_pairs(read):
