@@ -99,3 +99,31 @@ def key_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def schema_with(df: DataFrame, more: str) -> StructType:
     """The schema of df and further fields given as DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+#: Bits of a key filter: 4 MB whatever the number of keys.
+FILTER_BITS = 25
+
+
+def _filter_places(key: str) -> str:
+    mask = (1 << FILTER_BITS) - 1
+    return f"array(xxhash64({key}) & {mask}L, shiftrightunsigned(xxhash64({key}), {FILTER_BITS}) & {mask}L)"
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """One row (bits: array of 2**FILTER_BITS bits as longs): a Bloom filter of the column ``key``.
+
+    It is of a fixed size and so may be broadcast. With very many keys it lets more rows through than it
+    should; an exact join follows it wherever it is used.
+    """
+    words = keys.selectExpr(f"explode({_filter_places('key')}) AS i").selectExpr("cast(shiftright(i, 6) as int) AS w", "shiftleft(1L, cast(i & 63 as int)) AS b")
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[np.asarray(found.column("w"))] = np.asarray(found.column("b"))
+    return keys.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
+
+
+def may_be_in(df: DataFrame, key: str, bits: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of df whose key (an SQL expression, not null) passes the filter, or those that certainly don't."""
+    test = f"forall({_filter_places(key)}, i -> (shiftrightunsigned(element_at(bits, cast(shiftright(i, 6) as int) + 1), cast(i & 63 as int)) & 1L) = 1L)"
+    return df.join(F.broadcast(bits), F.expr(test), "left_semi" if inside else "left_anti")

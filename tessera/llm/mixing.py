@@ -34,7 +34,7 @@ class MixConfig:
     components: int = 64
     block: int = 32
     period: int = 1000
-    bucket: int = 20_000
+    bucket: int = 4_000
     seed: int = 11
 
 

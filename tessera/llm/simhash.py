@@ -25,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import Stage, as_bytes, int64, partitions
+from .common import Stage, as_bytes, int64, key_filter, may_be_in, partitions
 from .components import components
 from .grouping import Forest, groups
 
 
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
+
+
 @dataclass(frozen=True)
 class SimHashConfig:
     """words: words in a shingle. radius: most differing bits of a link. tree: most fingerprints in a BK-tree
@@ -280,7 +284,8 @@ def near_duplicates(docs: DataFrame, config: SimilarConfig = SimilarConfig(), st
 
     proposed = stage.write(shards.mapInArrow(propose, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
     needed = proposed.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
-    data = stage.write(profiles.join(needed, "whole", "left_semi").groupBy("whole").agg(F.first("set").alias("set")), "sets")
+    sets_of = may_be_in(profiles, "whole", key_filter(needed.select(F.col("whole").alias("key"))))
+    data = stage.write(sets_of.join(needed, "whole", "left_semi").groupBy("whole").agg(F.first("set").alias("set")), "sets")
     both = proposed.join(data.select(F.col("whole").alias("a"), F.col("set").alias("x")), "a").join(data.select(F.col("whole").alias("b"), F.col("set").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,8 +331,18 @@ def keep_one(docs: DataFrame, config: SimilarConfig = SimilarConfig(), stage: St
     """
     stage = stage or Stage(docs.sparkSession, "similar")
     groups = near_duplicates(docs, config, stage)
-    profiles = stage.read("profiles").select("doc_id", "whole")
-    grouped = profiles.join(groups, "whole", "left").select("doc_id", F.coalesce("component", "whole").alias("g"))
-    least = grouped.groupBy("g").agg(F.min("doc_id").alias("least")).select("least").distinct()
-    kept = docs.join(stage.write(least, "kept"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    profiles = stage.read("profiles").select(key.alias("key"), "whole")
+    grouped = profiles.join(groups, "whole", "left").select("key", F.coalesce("component", "whole").alias("g"))
+    order = F.nullif("key", F.lit(NO_ID))
+    least = grouped.groupBy("g").agg(F.coalesce(F.min(order), F.lit(NO_ID)).alias("least"))
+    ids = stage.write(grouped.join(least, "g").select("key", "least"), "ids")
+    stage.drop("profiles")
+    # rows in doubt: those that go, and those whose doc_id occurs again; all others stay where they are
+    repeated = ids.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    bits = key_filter(ids.where("key <> least").select("key").unionByName(repeated))
+    sql = f"coalesce(cast(doc_id as bigint), {NO_ID + 1}L - 1L)"
+    certain, doubtful = may_be_in(docs, sql, bits, False), may_be_in(docs, sql, bits)
+    kept = ids.where("key = least").select("least").distinct()
+    one = doubtful.join(kept, key == F.col("least"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return certain.unionByName(one)
