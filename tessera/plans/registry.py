@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+COUNTS = ("rank", "chars", "n_lines")
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -17,7 +19,9 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            out = f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            # counts and ranks are long, as in the SQL
+            return out.withColumns({c: F.col(c).cast("long") for c in COUNTS if dict(out.dtypes).get(c) == "int"})
 
         run.__name__, run.__doc__ = key, f.__doc__
         QUERIES[key] = run
