@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,32 +84,34 @@ class WordEncoder:
             found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
         return found
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        memo, piece, others = self.memo, self._piece, []
-        for word in words:
-            text = word.decode()
-            if PLAIN.fullmatch(text):
-                memo[word] = b"".join([piece(p) for p in PIECE.findall(text.lower())])
-            else:
-                others.append(word)
-        for word, found in zip(others, self.library.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
-            memo[word] = np.array(found.ids, "<u4").tobytes()
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN.fullmatch(text):
+            found = b"".join([self._piece(p) for p in PIECE.findall(text.lower())])
+        else:
+            found = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.memo[word] = found
+        return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+    def _split(self, text: str) -> np.ndarray:
         # only ASCII white space ends a word here; other white space is left to the library
-        split = [[] if i in whole else t.encode().split() for i, t in enumerate(texts)]
-        memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {w for words in split for w in words}
-        self._learn(new)
-        out = [np.frombuffer(b"".join([memo[w] for w in words]), "<u4") for words in split]
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        words = text.encode().split()
+        found = list(map(self.memo.get, words))
+        if None in found:
+            for at in [i for i, x in enumerate(found) if x is None]:
+                known = self.memo.get(words[at])
+                found[at] = self._word(words[at]) if known is None else known
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        out = []
+        for text in texts:
+            whole = any(s in text for s in self.special)
+            out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4") if whole else self._split(text))
         return out
 
 
