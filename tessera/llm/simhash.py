@@ -9,7 +9,10 @@ aren't broadcast. A shard that is too large for one tree is cut anew into finer
 the same reason and ends with shards of at most 2**13 fingerprints.
 
 ``near_duplicates`` works on shingle sets: shards are keyed by sketches of small parts of the set, the
-BK-tree of each proposes links, nearest first, and only links whose Jaccard similarity is high enough count.
+BK-tree of each proposes links, and only links whose Jaccard similarity is high enough count. Small shards
+propose all pairs within the radius. Large ones propose a forest, nearest first; where verified links leave a
+large shard in several components, its sets come together, and all pairs within the radius that are still
+apart are verified, piece against piece.
 """
 
 from __future__ import annotations
@@ -47,13 +50,18 @@ class SimHashConfig:
 @dataclass(frozen=True)
 class SimilarConfig:
     """words: words in a shingle. similarity: least Jaccard similarity of a link. radius: most differing bits
-    of proposed links. routes: parts of a set that a document is looked up by, at each of two sizes."""
+    of proposed links. routes: parts of a set that a document is looked up by, at each of two sizes. small:
+    most sets of a shard that proposes all pairs. piece, piece_bytes: most sets, and about the most bytes of
+    them, that are compared with as many others in one task."""
 
     words: int = 5
     similarity: float = 0.8
     radius: int = 20
     routes: int = 12
     tree: int = 2048
+    small: int = 32
+    piece: int = 1024
+    piece_bytes: int = 1 << 24
 
 
 class BKTree:
@@ -263,8 +271,8 @@ def _profiles(docs: DataFrame, config: SimilarConfig) -> DataFrame:
 def near_duplicates(docs: DataFrame, config: SimilarConfig = SimilarConfig(), stage: Stage | None = None) -> DataFrame:
     """(whole, component): each distinct shingle set that is not alone in its component, and the component's id.
 
-    Sets are linked when a shard's BK-tree proposes them and their Jaccard similarity is at least
-    ``similarity``. Documents with one set (exact copies among them) share a row.
+    Components are those of all pairs that share a shard, differ by at most ``radius`` bits and have a
+    Jaccard similarity of at least ``similarity``. Documents with one set (exact copies among them) share a row.
     """
     stage = stage or Stage(docs.sparkSession, "similar")
     spark = docs.sparkSession
@@ -272,17 +280,24 @@ def near_duplicates(docs: DataFrame, config: SimilarConfig = SimilarConfig(), st
     sets = profiles.groupBy("whole").agg(F.first("fp").alias("fp"), F.first("routes").alias("routes"))
     shards = sets.select(F.explode("routes").alias("key"), "whole", "fp").repartition(partitions(spark), "key").sortWithinPartitions("key", "fp", "whole")
 
+    names = ["a", "b", "key", "fp"]
+
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead = None
-        for _, (whole, fp), first, _ in groups(batches, ["key"], ["whole", "fp"], config.tree):
-            pairs = _nearest(whole, fp, config.radius)
-            if not first and ahead is not None:  # pieces of a large shard hang together by their first members
+        for (key,), (whole, fp), first, last in groups(batches, ["key"], ["whole", "fp"], config.tree):
+            large = not (first and last) or len(whole) > config.small
+            pairs = _nearest(whole, fp, config.radius) if large else _all_pairs(whole, fp, config.radius)
+            if not first and ahead is not None:  # a guess that saves later work: near copies stand in all pieces
                 pairs.append((ahead, int(whole[0])))
             ahead = int(whole[0])
             if pairs:
-                yield pa.RecordBatch.from_arrays([int64([a for a, _ in pairs]), int64([b for _, b in pairs])], ["a", "b"])
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([int64([a for a, _ in pairs]), int64([b for _, b in pairs]), none, none], names)
+            if large:  # its members, for the pairs that the forest leaves out
+                yield pa.RecordBatch.from_arrays([int64(whole), pa.nulls(len(whole), pa.int64()), int64(np.full(len(whole), key)), int64(fp)], names)
 
-    proposed = stage.write(shards.mapInArrow(propose, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
+    out = stage.write(shards.mapInArrow(propose, "a long, b long, key long, fp long"), "shards")
+    proposed = stage.write(out.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
     needed = proposed.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
     sets_of = may_be_in(profiles, "whole", key_filter(needed.select(F.col("whole").alias("key"))))
     data = stage.write(sets_of.join(needed, "whole", "left_semi").groupBy("whole").agg(F.first("set").alias("set")), "sets")
@@ -298,8 +313,81 @@ def near_duplicates(docs: DataFrame, config: SimilarConfig = SimilarConfig(), st
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    linked = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    return components(linked, stage, "similar").select(F.col("id").alias("whole"), F.col("root").alias("component"))
+    linked = stage.write(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "linked")
+    found = components(linked, stage, "similar")
+    rooted = out.where("b is null").select("key", F.col("a").alias("whole"), "fp").join(found.withColumnRenamed("id", "whole"), "whole", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "whole"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    open_ = stage.write(rooted.join(open_, "key", "left_semi"), "open")
+    if not open_.isEmpty():
+        found = components(linked.unionByName(_open_links(open_, profiles, config, stage)), stage, "similar-open")
+    return found.select(F.col("id").alias("whole"), F.col("root").alias("component"))
+
+
+def _open_links(open_: DataFrame, profiles: DataFrame, config: SimilarConfig, stage: Stage) -> DataFrame:
+    """Links (a, b) that span all verified pairs within the radius among the members (key, whole, fp, root) of
+    each shard, given those within a root. Pieces of a shard are compared two by two."""
+    spark = open_.sparkSession
+    needed = open_.select("whole").distinct()
+    data = may_be_in(profiles, "whole", key_filter(needed.select(F.col("whole").alias("key")))).join(needed, "whole", "left_semi")
+    members = open_.join(data.groupBy("whole").agg(F.first("set").alias("set")), "whole")
+    sizes = open_.join(data.groupBy("whole").agg(F.length(F.first("set")).alias("size")), "whole").groupBy("key")
+    sizes = sizes.agg(F.ceil(F.greatest(F.count("*") / config.piece, F.sum("size") / config.piece_bytes)).cast("int").alias("pieces"))
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("pieces")).cast("int"))
+    others = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    keys, values = ["key", "i", "j"], ["side", "whole", "fp", "root", "set"]
+    pairs = others.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *values[1:])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), (side, whole, fp, root, sets), _, _ in groups(batches, keys, values, 1 << 30):
+            links = _apart(whole, fp, root, [np.frombuffer(s, "<u4") for s in sets], None if i == j else side == 1, config)
+            if links:
+                yield pa.RecordBatch.from_arrays([int64([a for a, _ in links]), int64([b for _, b in links])], ["a", "b"])
+
+    dealt = pairs.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "side", "whole")
+    return stage.write(dealt.mapInArrow(compare, "a long, b long"), "open-links")
+
+
+def _apart(whole: np.ndarray, fp: np.ndarray, root: np.ndarray, sets: list[np.ndarray], right: np.ndarray | None, config: SimilarConfig) -> list[tuple[int, int]]:
+    """A spanning set of the links between members that are not yet of one root; right: the side of each
+    member, of which only pairs across count (None: all pairs count)."""
+    group = np.unique(root, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets], np.int64)
+    shingles = np.concatenate(sets)
+    order = np.argsort(shingles, kind="stable")
+    owner, shingles = np.repeat(np.arange(len(sets)), size)[order], shingles[order]
+    fp = fp.astype(np.int64).view(np.uint64)
+    out = []
+    for i, s in enumerate(sets if right is None else sets[: len(sets) - int(right.sum())]):
+        near = (np.bitwise_count(fp ^ fp[i]) <= config.radius) & (group != group[i])
+        if right is None:
+            near[:i] = False
+        else:
+            near &= right
+        if not near.any():
+            continue
+        starts, ends = np.searchsorted(shingles, s), np.searchsorted(shingles, s, "right")
+        counts = ends - starts
+        at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+        common = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(near & (common >= config.similarity * (size + size[i] - common))).tolist():
+            if group[j] != group[i]:
+                out.append((int(whole[i]), int(whole[j])))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _all_pairs(whole: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """All pairs of a small shard within the radius."""
+    if len(whole) < 2:
+        return []
+    tree, members, out = BKTree(), {}, []
+    for w, v in zip(whole.tolist(), fp.tolist()):
+        v &= (1 << 64) - 1
+        out += [(u, w) for _, f in tree.within(v, radius) for u in members[f]]
+        members.setdefault(v, []).append(w)
+        tree.add(v)
+    return out
 
 
 def _nearest(whole: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:

@@ -101,3 +101,22 @@ def test_near_duplicates(spark):
     assert want <= set(got)  # clean documents stay
     assert len(set(got) - want) <= 0.01 * len(rows)
     assert sh.keep_one(docs.limit(0)).count() == 0
+
+
+def test_large_group(spark):
+    """A large group of loosely linked variants comes out as all pairs have it."""
+    rng = np.random.default_rng(8)
+    text = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(500):
+        p = list(text)
+        for k in np.flatnonzero(rng.random(200) < 0.022):
+            p[k] = f"new{rng.integers(1 << 30)}"
+        rows.append((i, " ".join(p)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    close = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = len(set(roots(range(len(rows)), close).values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for config in (sh.SimilarConfig(), sh.SimilarConfig(tree=64, piece=50)):
+        got = sh.keep_one(docs, config).count()
+        assert want <= got <= 1.02 * want, (want, got)
