@@ -11,12 +11,16 @@
    that ends at or before each.
 4. Alignment. The words around each chain are fetched, its ends are extended while matches outweigh
    mismatches, and a bit-parallel longest common subsequence gives the identity of the passages.
+5. Stretches. Where the seeds of a passage occurred earlier in different documents, the matches with each of
+   them are too few. So the runs of ``min_words`` words that may occur in two documents (all their seeds occur
+   again) and that no passage found covers are matched as the seeds are, by their first place: every run of
+   ``min_words`` equal words that a document with a smaller doc_id has too lies in a passage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import Stage, as_bytes, int64, partitions, slices
+from .common import Stage, as_bytes, int64, key_filter, may_be_in, partitions, slices
 from .grouping import groups
 
 CHUNK = 1 << 21
@@ -90,7 +94,7 @@ def seeds(docs: DataFrame, config: ChainConfig) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(b, a, pb, pa): each seed's places in documents b other than its first, a."""
+    """(b, a, pb, pa): each seed's places in documents b other than its first place, in a; b may be a."""
     spark = found.sparkSession
     names = ["b", "a", "pb", "pa"]
 
@@ -106,7 +110,7 @@ def matches(found: DataFrame) -> DataFrame:
             if last is not None and last[0] == seed[0]:
                 own = first == 0
                 a, pa_ = np.where(own, last[1], a), np.where(own, last[2], pa_)
-            other = a != doc
+            other = (a != doc) | (pa_ != pos)
             last = (seed[-1], a[-1], pa_[-1])
             if other.any():
                 yield pa.RecordBatch.from_arrays([int64(doc[other]), int64(a[other]), pa.array(pos[other].astype(np.int32)), pa.array(pa_[other].astype(np.int32))], names)
@@ -294,13 +298,73 @@ def passages(docs: DataFrame, config: ChainConfig = ChainConfig(), stage: Stage
     if not repeated.isEmpty():
         base = base.groupBy("doc").agg(F.max("text").alias("text"))
     found = stage.write(matches(seeds(base, config)), "matches")
-    linked = chains(found, config)
+    first = stage.write(_aligned(base, chains(found.where("a <> b"), config), config, stage, ""), "passages")
+    runs = _stretches(base, found, first, config, stage)
+    if runs is None:
+        return first
+    # a chain for each run: gaps would cost more than any run can score
+    alone = replace(config, k=config.min_words, gap=1e6)
+    return first.unionByName(_aligned(base, chains(runs, alone), config, stage, "-runs"))
+
+
+def _stretches(base: DataFrame, found: DataFrame, first: DataFrame, config: ChainConfig, stage: Stage) -> DataFrame | None:
+    """Matches (b, a, pb, pa) of equal runs of min_words words where no passage covers the run in b."""
+    again = found.select(F.col("b").alias("doc"), F.col("pb").alias("pos")).unionByName(found.select(F.col("a").alias("doc"), F.col("pa").alias("pos"))).distinct()
+    again = again.groupBy("doc").agg(F.collect_list("pos").alias("again"))
+    sides = first.select(F.col("doc_id").alias("doc"), "start", "end").unionByName(first.select(F.col("rep_id").alias("doc"), F.col("rep_start").alias("start"), F.col("rep_end").alias("end")))
+    # the longest passage of each 64 starts, so that the list doesn't grow with the number of documents
+    longest = sides.groupBy("doc", F.floor(F.col("start") / 64).alias("part")).agg(F.max_by(F.struct("start", "end"), F.col("end") - F.col("start")).alias("p"))
+    covered = longest.groupBy("doc").agg(F.collect_list("p").alias("covered"))
+    known = stage.write(again.where(F.size("again") > 1).join(covered, "doc", "left"), "again")
+
+    def run_of(only_open: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = (batch.column(c).to_pylist() for c in ("doc", "again", "covered"))
+                for text, doc, again, covered in zip(as_bytes(batch.column("text")), *columns):
+                    words = word_hashes([text])[0]
+                    at = _runs_that_may_repeat(words, again, config)
+                    if only_open and covered:
+                        reach = np.zeros(len(words), np.int64)  # the end of the passage that reaches furthest
+                        for p in covered:
+                            reach[p["start"]] = max(reach[p["start"]], p["end"])
+                        at = at[np.maximum.accumulate(reach)[at] < at + config.min_words]
+                    if len(at):
+                        keys = wh.ngram_hashes(words, config.min_words)[at].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([int64(keys), int64(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["seed", "doc", "pos"])
+
+        return base.join(known, "doc").select("doc", "text", "again", "covered").mapInArrow(run, "seed long, doc long, pos int")
+
+    open_ = stage.write(run_of(True), "open")
+    if open_.isEmpty():
+        return None
+    runs = may_be_in(run_of(False), "seed", key_filter(open_.select(F.col("seed").alias("key"))))
+    return matches(runs).where("a <> b").join(open_.select(F.col("doc").alias("b"), F.col("pos").alias("pb")), ["b", "pb"], "left_semi").select("b", "a", "pb", "pa")
+
+
+def _runs_that_may_repeat(words: np.ndarray, again: list[int], config: ChainConfig) -> np.ndarray:
+    """Starts of the runs of min_words words whose own seeds all occur again."""
+    n = len(words) - config.min_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    places = seeds_of(words, config.k, config.window)[1]
+    once = np.zeros(len(words) + 1, np.int64)
+    once[np.setdiff1d(places, np.array(again, np.int64)) + 1] = 1
+    before = np.cumsum(once)
+    # only seeds that are least in a window within the run belong to it: those at least a window from its ends
+    low, high = config.window - 1, config.min_words - config.k + 1 - (config.window - 1)
+    at = np.arange(n)
+    return at[before[at + max(low, high)] == before[at + low]]
+
+
+def _aligned(base: DataFrame, linked: DataFrame, config: ChainConfig, stage: Stage, name: str) -> DataFrame:
+    """The passages that chains extend to."""
     reach = 2 * config.margin
     long = (F.col("b1") - F.col("b0") + reach >= config.min_words) & (F.col("a1") - F.col("a0") + reach >= config.min_words)
-    linked = stage.write(linked.where(long).withColumn("chain", F.xxhash64("a", "b", "a0", "b0", "a1", "b1")), "chains")
+    linked = stage.write(linked.where(long).withColumn("chain", F.xxhash64("a", "b", "a0", "b0", "a1", "b1")), f"chains{name}")
     sides = [F.struct(F.col(s).alias("doc"), F.col("chain"), F.lit(i).alias("side"), (F.col(f"{s}0") - config.margin).alias("from"), (F.col(f"{s}1") + config.margin).alias("to")) for i, s in enumerate("ab")]
     wanted = linked.select(F.explode(F.array(*sides)).alias("w")).select("w.*")
-    cut = stage.write(_cut_out(base, wanted, config), "words")
+    cut = stage.write(_cut_out(base, wanted, config), f"words{name}")
     x = cut.where("side = 0").select("chain", F.col("at").alias("xa"), F.col("words").alias("x"))
     y = cut.where("side = 1").select("chain", F.col("at").alias("ya"), F.col("words").alias("y"))
     both = linked.join(x, "chain").join(y, "chain").select("b", "a", "b0", "b1", "a0", "a1", "score", "anchors", "xa", "x", "ya", "y")
@@ -313,12 +377,13 @@ def passages(docs: DataFrame, config: ChainConfig = ChainConfig(), stage: Stage
                 x, y = np.frombuffer(r["x"], "<u4"), np.frombuffer(r["y"], "<u4")
                 a0, a1, b0, b1 = r["a0"] - r["xa"], r["a1"] - r["xa"], r["b0"] - r["ya"], r["b1"] - r["ya"]
                 left, right = extended(x[:a0][::-1], y[:b0][::-1]), extended(x[a1:], y[b1:])
-                a0, b0, a1, b1 = a0 - left[0], b0 - left[1], a1 + right[0], b1 + right[1]
-                if min(a1 - a0, b1 - b0) < config.min_words:
-                    continue
-                same = common_words(x[a0:a1], y[b0:b1]) / max(a1 - a0, b1 - b0)
-                if same >= config.identity:
-                    out.append((r["b"], b0 + r["ya"], b1 + r["ya"], r["a"], a0 + r["xa"], a1 + r["xa"], r["score"], r["anchors"], same))
+                for a0, b0, a1, b1 in ((a0 - left[0], b0 - left[1], a1 + right[0], b1 + right[1]), (a0, b0, a1, b1)):  # else as it was
+                    if min(a1 - a0, b1 - b0) < config.min_words:
+                        break
+                    same = common_words(x[a0:a1], y[b0:b1]) / max(a1 - a0, b1 - b0)
+                    if same >= config.identity:
+                        out.append((r["b"], b0 + r["ya"], b1 + r["ya"], r["a"], a0 + r["xa"], a1 + r["xa"], r["score"], r["anchors"], same))
+                        break
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)

@@ -68,3 +68,29 @@ def test_planted(spark, requests):
         if r.doc_id == 200 and r.rep_id == 1:
             assert r.end - r.start == len(words)
     assert ch.passages(docs.limit(0)).count() == 0
+
+
+def test_stock_sentences(spark):
+    """Passages whose parts all occurred earlier, in different documents."""
+    rng = np.random.default_rng(6)
+    stock = [[f"s{i}_{j}" for j in range(15)] for i in range(12)]
+    fresh = iter(range(1 << 30))
+    rows = []
+    for i in range(300):  # every two sentences in a row are common, 30 words
+        parts = [stock[a] + stock[b] + [f"u{next(fresh)}" for _ in range(15)] for a, b in rng.integers(0, 12, (4, 2))]
+        rows.append((i, " ".join(sum(parts, []))))
+    planted = [sum((stock[k] for k in rng.permutation(12)[:4]), []) for _ in range(10)]
+    for i, p in enumerate(planted):
+        for d in (1000 + i, 2000 + i):
+            rows.append((d, " ".join([f"u{next(fresh)}" for _ in range(20)] + p + [f"u{next(fresh)}" for _ in range(20)])))
+    grams, want = {}, set()
+    for d, t in rows:
+        w = t.split()
+        for at in range(len(w) - 39):
+            if grams.setdefault(tuple(w[at : at + 40]), d) < d:
+                want.add((d, at))
+    got = {}
+    for r in ch.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert len({d for d, _ in want}) >= 10
+    assert all(any(a <= at and at + 40 <= b for a, b in got.get(d, [])) for d, at in want)
