@@ -4,6 +4,10 @@ In every pass a vector's key is a row of bits, one for the side of each of ``bit
 it lies on. Vectors are ordered by key, so that vectors that agree on the first bits stand near each other,
 and each is compared with the ``window`` vectors before it. Verified pairs of all passes are united.
 
+Labels with more vectors than a window are centred before they are projected, so that vectors that are all
+alike fall apart too. Rounds of ``passes`` passes go on until there have been as many passes as the largest and
+densest label needs (``passes_needed``) and a round has united nothing more.
+
 A vector that occurs many times is compared once. Within the components that the passes found, every pair
 is then compared in blocks, so that the numbers of links are exact there even if a component is much larger
 than a window; only sums leave the blocks.
@@ -27,14 +31,14 @@ from .grouping import Forest, groups
 
 @dataclass(frozen=True)
 class ProjectionConfig:
-    """similarity: least cosine. passes, bits, window: see above; at cosine 0.98 a pair agrees on a bit with
-    probability 0.936, so 12 passes find it with 0.99 or more while 13 bits part it from all but a window.
-    block: vectors in a block of the exact count."""
+    """similarity: least cosine. passes, bits, window: see above. missed: share of pairs of the least cosine that
+    the passes needed may miss. block: vectors in a block of the exact count."""
 
     similarity: float = 0.98
     passes: int = 12
     bits: int = 48
     window: int = 256
+    missed: float = 0.01
     block: int = 1024
     seed: int = 20
 
@@ -60,28 +64,110 @@ def _matrix(data: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _packed(classes: DataFrame, config: ProjectionConfig) -> DataFrame:
-    """(cid, kind, copies, vec, keys): keys has one long for each pass."""
+def _packed(classes: DataFrame) -> DataFrame:
+    """(cid, kind, copies, vec)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = [np.array(r, "<f8").tobytes() for r in batch.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("kind"), batch.column("copies"), pa.array(vec, pa.binary())], ["cid", "kind", "copies", "vec"])
+
+    return classes.mapInArrow(run, "cid long, kind long, copies long, vec binary")
+
+
+def _centres(packed: DataFrame, config: ProjectionConfig) -> DataFrame:
+    """(kind, n, centre): the mean of the unit vectors of each kind that has more of them than a window."""
+    names, types = ["kind", "n", "centre"], "kind long, n long, centre binary"
+
+    def record(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([int64([k for k, _, _ in rows]), int64([n for _, n, _ in rows]), pa.array([v.tobytes() for _, _, v in rows], pa.binary())], names)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            kind, vec = np.asarray(batch.column("kind")), batch.column("vec").to_numpy(zero_copy_only=False)
+            for k in np.unique(kind).tolist():
+                x = _matrix(list(vec[kind == k]))
+                n, total = held.get(k, (0, 0.0))
+                held[k] = (n + len(x), total + x.sum(axis=0))
+            if len(held) > 2048:
+                yield record([(k, n, v) for k, (n, v) in held.items()])
+                held = {}
+        if held:
+            yield record([(k, n, v) for k, (n, v) in held.items()])
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind,), (n, centre), _, _ in groups(batches, ["kind"], ["n", "centre"], 1 << 30):
+            if n.sum() > config.window:
+                total = np.frombuffer(b"".join(centre), "<f8").reshape(len(n), -1).sum(axis=0)
+                yield record([(int(kind), int(n.sum()), total / n.sum())])
+
+    parts = packed.select("kind", "vec").mapInArrow(sums, types)
+    return parts.repartition(partitions(packed.sparkSession), "kind").sortWithinPartitions("kind", "n").mapInArrow(means, types)
+
+
+def passes_needed(n: int, spread: float, config: ProjectionConfig) -> float:
+    """Passes after which all but ``missed`` of the pairs of the least cosine have met in a window, among n
+    vectors with a mean squared distance ``spread`` from their centre.
+
+    A pair agrees on a bit if its centred vectors lie on one side, and on as many bits as part n vectors from
+    a window. Where vectors are nearly all linked (centred cosine under 0.5) chains of links stand for pairs.
+    """
+    bits = max(0.0, np.log2(n / config.window))
+    cosine = max(0.5, 1 - (1 - config.similarity) / max(spread, 1e-9))
+    found = (1 - np.arccos(min(1.0, cosine)) / np.pi) ** bits
+    return 1.0 if found >= 1 else float(np.log(config.missed) / np.log1p(-found))
+
+
+def _most_passes(centres: DataFrame, config: ProjectionConfig) -> int:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [passes_needed(n, 1 - float((np.frombuffer(c, "<f8") ** 2).sum()), config) for n, c in zip(batch.column("n").to_pylist(), batch.column("centre").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(most, pa.float64())], ["most"])
+
+    return int(np.ceil(centres.mapInArrow(run, "most double").agg(F.max("most")).first()[0] or 1))
+
+
+def _keyed(packed: DataFrame, centres: DataFrame, round_: int, config: ProjectionConfig) -> DataFrame:
+    """(cid, kind, vec, keys): keys has one long for each pass of the round."""
+    salts = partitions(packed.sparkSession)  # a centre comes to many tasks, however large its label
+    salted = centres.select("kind", "centre", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    joined = packed.select("cid", "kind", "vec", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(salts)).cast("int").alias("salt")).join(salted, ["kind", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        weight = 1 << np.arange(config.bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            rows = batch.column("embedding").to_pylist()
-            vec, keys = [np.array(r, "<f8").tobytes() for r in rows], [None] * len(rows)
-            for dim in {len(r) for r in rows}:
-                at = [i for i, r in enumerate(rows) if len(r) == dim]
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([config.seed, dim]).standard_normal((dim, config.passes * config.bits))
-                side = (_matrix([vec[i] for i in at]) @ planes[dim] > 0).reshape(len(at), config.passes, config.bits)
-                weight = 1 << np.arange(config.bits - 1, -1, -1, dtype=np.int64)
+            vec, centre = batch.column("vec").to_pylist(), batch.column("centre").to_pylist()
+            keys = [None] * len(vec)
+            for size in {len(v) for v in vec}:
+                at = [i for i, v in enumerate(vec) if len(v) == size]
+                if size not in planes:
+                    planes[size] = np.random.default_rng([config.seed, size // 8, round_]).standard_normal((size // 8, config.passes * config.bits))
+                x = _matrix([vec[i] for i in at])
+                x -= np.frombuffer(b"".join(centre[i] or bytes(size) for i in at), "<f8").reshape(x.shape)
+                side = (x @ planes[size] > 0).reshape(len(at), config.passes, config.bits)
                 for i, k in zip(at, (side * weight).sum(axis=2)):
                     keys[i] = k
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), batch.column("kind"), batch.column("copies"), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["cid", "kind", "copies", "vec", "keys"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("kind"), batch.column("vec"), pa.array(keys, pa.list_(pa.int64()))], ["cid", "kind", "vec", "keys"])
+
+    return joined.select("cid", "kind", "vec", "centre").mapInArrow(run, "cid long, kind long, vec binary, keys array<long>")
+
 
-    return classes.mapInArrow(run, "cid long, kind long, copies long, vec binary, keys array<long>")
+def _roots(packed: DataFrame, config: ProjectionConfig, stage: Stage) -> DataFrame:
+    """(id, root) of every linked vector, by rounds of passes."""
+    centres = stage.write(_centres(packed, config), "centres")
+    needed, round_, united, roots = _most_passes(centres, config), 0, 0, None
+    while True:
+        links = _pass_links(_keyed(packed, centres, round_, config), config, stage)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        roots = stage.write(components(links, stage, f"components-{round_}"), f"roots-{round_}")
+        now = roots.where("id <> root").count()
+        round_ += 1
+        if now == united and round_ * config.passes >= needed:
+            return roots
+        united = now
 
 
 def _close(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +177,10 @@ def _close(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray,
     return i[fine], j[fine]
 
 
-def _pass_links(packed: DataFrame, config: ProjectionConfig, stage: Stage) -> DataFrame:
+def _pass_links(keyed: DataFrame, config: ProjectionConfig, stage: Stage) -> DataFrame:
     """Links (a, b) between cids that span the components of all verified pairs."""
-    spark = packed.sparkSession
-    rows = packed.select(F.posexplode("keys").alias("pass", "key"), "kind", "cid", "vec")
+    spark = keyed.sparkSession
+    rows = keyed.select(F.posexplode("keys").alias("pass", "key"), "kind", "cid", "vec")
     ordered = rows.repartitionByRange(partitions(spark), "pass", "kind", "key", "cid").sortWithinPartitions("pass", "kind", "key", "cid")
     names = ["a", "b", "part", "side", "pass", "kind", "vec"]
     types = "a long, b long, part int, side int, pass int, kind long, vec binary"
@@ -191,8 +277,8 @@ def deduplicate(vectors: DataFrame, config: ProjectionConfig = ProjectionConfig(
     """
     stage = stage or Stage(vectors.sparkSession, "projection")
     vectors = vectors.select("vec_id", "embedding", "label")
-    packed = stage.write(_packed(_classes(vectors), config), "packed")
-    roots = components(_pass_links(packed, config, stage), stage).withColumnRenamed("id", "cid")
+    packed = stage.write(_packed(_classes(vectors)), "packed")
+    roots = _roots(packed, config, stage).withColumnRenamed("id", "cid")
     members = stage.write(roots.join(packed.select("cid", "copies", "vec"), "cid"), "members")
     counts = _link_counts(members, config)
     ids = stage.write(vectors.where(_is_valid()).select("vec_id", F.xxhash64(F.col("label").cast("string"), F.col("embedding").cast("array<double>")).alias("cid")), "ids")

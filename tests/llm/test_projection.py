@@ -64,3 +64,18 @@ def test_recall(spark):
     assert sum(r.n_links for r in got) >= 0.95 * linked.sum() > 0
     assert all(r.n_links <= linked[r.vec_id].sum() for r in got)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_dense_label(spark):
+    """One label whose vectors are all alike: planted pairs are found however many windows it has."""
+    rng = np.random.default_rng(4)
+    n, dim, planted = 5000, 64, 200
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.9) * unit(rng.standard_normal(dim)) + np.sqrt(0.1) * unit(rng.standard_normal((n, dim))))
+    x[n - planted :] = unit(x[:planted] + np.sqrt(2 - 2 * 0.983) * unit(rng.standard_normal((planted, dim))))
+    linked = x @ x.T >= 0.98
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = pr.deduplicate(df, pr.ProjectionConfig(window=8)).collect()
+    assert sum(r.n_links for r in got) >= 0.98 * linked.sum() > 0, (sum(r.n_links for r in got), linked.sum())
+    assert all(r.n_links <= linked[r.vec_id].sum() for r in got)
