@@ -7,8 +7,10 @@ deadline. With weights that sum to one all deadlines are met, and at every slot
 block away from its exact share.
 
 Weights are multiples of 1 / ``period``, so that the schedule of one period repeats. It is worked out on the
-driver for at most ``components`` sources, whatever the number of rows; blocks then find their slots by
-joins with it. When a source runs out, the others share its weight from that slot on, so every document
+driver for at most ``components`` sources and all listed ones, whatever the number of rows; blocks then find
+their slots by joins with it. All other sources are one component, of the sum of their weights. In it a source
+of weight w has its i-th row at the time (i + u) / w, where u is a fraction fixed by a hash of the source, and
+rows go by time: each source keeps its own weight, however many there are. When a source runs out, the others share its weight from that slot on, so every document
 appears exactly once. Only DataFrame functions touch the rows.
 """
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class MixConfig:
     """weights: target weight of each source; sources not named share ``rest``. None: the power ``temperature``
-    of each source's number of documents. components: most sources with a weight of their own; the smaller
-    ones are one component together. block: documents in a block. bucket: rows that are numbered in one task.
+    of each source's number of documents; so do those not named share ``rest``. components: most components,
+    unless more sources are listed; the smaller sources are one component together. block: documents in a block. bucket: rows that are numbered in one task.
     """
 
     weights: tuple[tuple[str | None, float], ...] | None = None
@@ -102,22 +104,26 @@ def schedule(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     new = ["component", "block", "place", "phase", "release", "deadline", "slot", "position"]
     names = [c for c in docs.columns if c not in new]
     counted = docs.groupBy(F.col("source").alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source"))
-    # at most ``components`` rows, whatever the number of sources
-    top = counted.limit(config.components - 1).collect()
-    total = docs.count()
     listed = dict(config.weights) if config.weights is not None else None
-    own = [r for r in top if listed is None or r.source in listed]
+    if listed is None:
+        own = counted.limit(config.components - 1).collect()
+    else:  # as many rows as are listed
+        wanted = spark.createDataFrame([(s,) for s in listed], "listed string")
+        own = counted.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("listed")), "left_semi").orderBy(F.desc("n"), F.asc_nulls_last("source")).collect()
+    total, powers = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.pow("n", F.lit(config.temperature))), F.lit(0.0))).first()
     members = [(i, r.source, r.n) for i, r in enumerate(own)]
     sizes = {i: n for i, _, n in members}
     weights = {i: (float(n) ** config.temperature if listed is None else listed[s]) for i, s, n in members}
     others = len(members)
+    powers -= sum(float(n) ** config.temperature for n in sizes.values())
     if rest := total - sum(sizes.values()):
         sizes[others] = rest
-        weights[others] = float(rest) ** config.temperature if listed is None else config.rest
-    floor = max(weights.values(), default=1.0) / config.period  # a weight of zero still comes last, never not at all
+        weights[others] = powers if listed is None else config.rest
+    period = max(config.period, 4 * len(sizes))
+    floor = max(weights.values(), default=1.0) / period  # a weight of zero still comes last, never not at all
     weights = {c: max(w, floor) for c, w in weights.items()}
     blocks = {c: -(-n // config.block) for c, n in sizes.items()}
-    phases, slots = plan(blocks, weights, config.period)
+    phases, slots = plan(blocks, weights, period)
     named = spark.createDataFrame(members, "component int, named string, n long").drop("n")
     phase_table = spark.createDataFrame(phases, "component int, phase int, first long, blocks long, start long, share int")
     phase_table = phase_table.groupBy("component").agg(F.collect_list(F.struct("first", "blocks", "phase", "start", "share")).alias("phases"))
@@ -125,13 +131,16 @@ def schedule(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
     base = docs.select(*[F.col(f"`{c}`") for c in names]).join(F.broadcast(named), F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
     base = base.withColumn("component", F.coalesce("component", F.lit(others)))
-    numbered = _numbered(base, max(1, total // config.bucket), config)
+    buckets = max(1, total // config.bucket)
+    numbered = _numbered(base.where(F.col("component") < others), buckets, config)
+    if rest:
+        numbered = numbered.unionByName(_by_weights(base.where(F.col("component") == others), counted, buckets, powers, config))
     placed = numbered.withColumn("block", F.floor(F.col("__index") / config.block)).withColumn("place", (F.col("__index") % config.block).cast("int"))
     found = placed.join(F.broadcast(phase_table), "component")
     here = F.filter("phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["first"] + p["blocks"]))
     found = found.withColumn("__p", here[0]).withColumn("phase", F.col("__p.phase")).withColumn("__i", F.col("block") - F.col("__p.first"))
     found = found.withColumn("j", F.col("__i") % F.col("__p.share")).join(F.broadcast(slot_table), ["component", "phase", "j"])
-    share, start, i, n = F.col("__p.share"), F.col("__p.start"), F.col("__i"), F.lit(config.period)
+    share, start, i, n = F.col("__p.share"), F.col("__p.start"), F.col("__i"), F.lit(period)
     slot = start + F.floor(i / share) * n + F.col("at")
     return found.select(
         *[F.col(f"`{c}`") for c in names], "component", "block", "place", "phase",
@@ -146,16 +155,36 @@ def _div(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
-def _numbered(rows: DataFrame, buckets: int, config: MixConfig) -> DataFrame:
-    """__index: the row's number within its component, by hash.
+def _numbered(rows: DataFrame, buckets: int, config: MixConfig, by: str = "component") -> DataFrame:
+    """__index: the row's number within its component (or another column, not null), by hash.
 
     Hash buckets split a component, however large, over many tasks; a small table holds the rows before each.
     """
-    hashed = rows.withColumn("__h", F.xxhash64("doc_id", F.lit(config.seed))).withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(buckets)).cast("int"))
-    counts = hashed.groupBy("component", "__b").agg(F.count("*").alias("n"))
-    before = counts.select("component", "__b", (F.sum("n").over(Window.partitionBy("component").orderBy("__b")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("component", "__b").orderBy("__h", "doc_id"))
-    return hashed.withColumn("__local", local).join(before, ["component", "__b"]).withColumn("__index", F.col("before") + F.col("__local") - 1).drop("__h", "__b", "__local", "before")
+    hashed = rows.withColumn("__h", F.xxhash64("doc_id", F.lit(config.seed))).withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(buckets)).cast("long"))
+    return _ranked(hashed, by, ["__h", "doc_id"]).drop("__h", "__b")
+
+
+def _ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """__index: the row's number among those of one ``by``, by the bucket __b and the order in it."""
+    counts = rows.groupBy(by, "__b").agg(F.count("*").alias("n"))
+    before = counts.select(by, "__b", (F.sum("n").over(Window.partitionBy(by).orderBy("__b")) - F.col("n")).alias("before"))
+    local = F.row_number().over(Window.partitionBy(by, "__b").orderBy(*order))
+    return rows.withColumn("__local", local).join(before, [by, "__b"]).withColumn("__index", F.col("before") + F.col("__local") - 1).drop("__local", "before")
+
+
+def _by_weights(rows: DataFrame, counted: DataFrame, buckets: int, powers: float, config: MixConfig) -> DataFrame:
+    """__index: the row's number in the component of all other sources, each at its own weight.
+
+    ``powers`` is the sum of the weights, so that at most about ``bucket`` rows have their time in one bucket.
+    """
+    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    weights = counted.select(key.alias("__s"), F.pow("n", F.lit(config.temperature)).alias("__w"))
+    numbered = _numbered(rows.withColumn("__s", key), buckets, config, "__s").join(weights, "__s")
+    offset = F.shiftrightunsigned(F.xxhash64("__s", F.lit(config.seed)), 11) / float(1 << 53)
+    timed = numbered.withColumn("__t", (F.col("__index") + offset) / F.col("__w")).withColumn("__b", F.floor(F.col("__t") * powers / config.bucket))
+    # rows of one source have their order by hash; a row's number in its source tells equal times apart
+    ranked = _ranked(timed.withColumnRenamed("__index", "__i"), "component", ["__t", "__s", "__i"])
+    return ranked.drop("__s", "__w", "__t", "__b", "__i")
 
 
 def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:

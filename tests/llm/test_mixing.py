@@ -62,3 +62,27 @@ def test_tables(spark):
     many = spark.range(300).selectExpr("id doc_id", "cast(id as string) source", "'x' text")
     few = mx.schedule(many, mx.MixConfig(components=4, block=2)).collect()
     assert len(few) == 300 and len({r.component for r in few}) == 4
+
+
+def test_many_sources(spark):
+    """Small sources have their own targets: listed ones as components, others within the last component."""
+    rows = [(i, f"s{i % 80}") for i in range(8000)] + [(10_000 + i, "tiny") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    config = mx.MixConfig(weights=(("tiny", 0.5), ("s1", 0.5)), block=2, period=100)
+    got = mx.schedule(docs, config).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    check(got, config)
+    assert max(r.position for r in got if r.source == "tiny") < 90  # half of the first 80
+
+    rows = [(i * 1000 + k, f"h{i}") for i, n in enumerate([400] * 4 + [100] * 20 + [4] * 40) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    config = mx.MixConfig(components=5, block=2, bucket=100)
+    got = mx.schedule(docs, config).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    check(got, config)
+    # weights 20, 10 and 2: in the first half of the time of a source of four all have their shares
+    order = [r.source for r in sorted(got, key=lambda r: r.position)]
+    first = Counter(order[: int(0.9 * 2 * (4 * 20 + 20 * 10 + 40 * 2))])
+    for i in range(64):
+        share = 1.8 * (20 if i < 4 else 10 if i < 24 else 2)
+        assert abs(first[f"h{i}"] - share) <= 4, (i, first[f"h{i}"], share)
