@@ -15,9 +15,11 @@ the tokenizer has ids, so it may be broadcast whatever the input.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +35,7 @@ END_ID = 1
 #: Ids in a block, unless a single document has more.
 BLOCK_IDS = 1 << 17
 #: Words and pieces of words whose ids a worker remembers before it starts anew; about 200 bytes each.
-MEMO, PIECES = 500_000, 400_000
+WORDS, PIECES = 100_000, 800_000
 SCHEMA = "shard int, block int, shard_start long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
 
@@ -46,9 +48,13 @@ class TokenConfig:
     block_ids: int = BLOCK_IDS
 
 
-#: Words of ASCII and the accented letters of Latin-1 only, and their pre-token pieces (lower case).
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The normaliser and pre-tokeniser that PLAIN and PIECE stand for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Printable ASCII, accented letters of Latin-1 and ASCII white space; the pre-token pieces of texts made of them.
+PLAIN = bytes([*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100), *b" \t\n\r\x0b\x0c"])
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> list[str]:
@@ -58,13 +64,20 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 class WordEncoder:
-    """Encodes texts through a memo of white-space-separated words.
+    """Encodes texts through a memo of pre-token pieces.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in
-    order; only words not met before are worked on. Words of common letters are cut into pre-token pieces
-    here and go straight to the library's model, piece by piece; all other words, and texts that hold a
-    special token's string, go through the whole library.
+    The tokenizer drops white space and never merges across pieces, so a text's ids are its pieces' ids in
+    order; only pieces not met before go to the library's model. Words with other letters go through the
+    whole library, word by word, and so do texts that hold a special token's string. A tokenizer with
+    another normaliser or pre-tokeniser than the one that the pieces stand for encodes every text itself.
     """
 
     def __init__(self, path: str):
@@ -73,46 +86,50 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        self.known = own.get("normalizer") == NORMALIZER and own.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and own.get("post_processor") is None
         self.letters = _byte_letters()
-        self.memo: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if PLAIN.fullmatch(text):
-            found = b"".join([self._piece(p) for p in PIECE.findall(text.lower())])
-        else:
-            found = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.memo[word] = found
-        return found
-
-    def _split(self, text: str) -> np.ndarray:
+    def _library(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        tokenize, letters, memo = self.model.tokenize, self.letters, self.pieces
+        for p in pieces:
+            shown = p if p.isascii() else "".join([letters[b] for b in p.encode()])
+            memo[p] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+
+    def _mixed(self, text: str) -> bytes:
         # only ASCII white space ends a word here; other white space is left to the library
-        words = text.encode().split()
-        found = list(map(self.memo.get, words))
-        if None in found:
-            for at in [i for i, x in enumerate(found) if x is None]:
-                known = self.memo.get(words[at])
-                found[at] = self._word(words[at]) if known is None else known
-        return np.frombuffer(b"".join(found), "<u4")
+        out = []
+        for word in text.encode().split():
+            w = word.decode()
+            if _is_plain(w):
+                parts = PIECE.findall(w.lower())
+                self._learn([p for p in parts if p not in self.pieces])
+                out += [self.pieces[p] for p in parts]
+            else:
+                if w not in self.words:
+                    self.words[w] = self._library(w)
+                out.append(self.words[w])
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        out = []
+        for memo, most in ((self.words, WORDS), (self.pieces, PIECES)):
+            if len(memo) > most:
+                memo.clear()
+        out: list = []
         for text in texts:
-            whole = any(s in text for s in self.special)
-            out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4") if whole else self._split(text))
-        return out
+            if not self.known or any(s in text for s in self.special):
+                out.append(self._library(text))
+            else:
+                out.append(PIECE.findall(text.lower()) if _is_plain(text) else self._mixed(text))
+        self._learn(set().union(*(x for x in out if isinstance(x, list))).difference(self.pieces))
+        known = self.pieces.__getitem__
+        return [np.frombuffer(b"".join(map(known, x)) if isinstance(x, list) else x, "<u4") for x in out]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -173,12 +190,12 @@ def encode_documents(docs: DataFrame, config: TokenConfig, order: str = "doc_id"
     base = docs.select("doc_id", *extra, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(config.tokenizer)
+        words, end = encoder(config.tokenizer), np.uint32(config.end_id)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [np.append(x, np.uint32(config.end_id)) for x in words.encode(texts)]
+            ids = words.encode(texts)
             columns = [batch.column(c) for c in ["doc_id", *extra]]
-            columns += [pa.array([len(x) for x in ids], pa.int32()), pa.array([pack(x) for x in ids], pa.binary())]
+            columns += [pa.array([len(x) + 1 for x in ids], pa.int32()), pa.array([pack(np.append(x, end)) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *extra, "n", "packed"])
 
     schema = schema_with(base.drop("text"), "n int, packed binary")
