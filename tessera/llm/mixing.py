@@ -6,12 +6,14 @@ ceil((i + 1) / w), its deadline. One block runs in each slot: of the released on
 deadline. With weights that sum to one all deadlines are met, and at every slot each source is less than one
 block away from its exact share.
 
-Weights are multiples of 1 / ``period``, so that the schedule of one period repeats. It is worked out on the
-driver for at most ``components`` sources and all listed ones, whatever the number of rows; blocks then find
-their slots by joins with it. All other sources are one component, of the sum of their weights. In it a source
-of weight w has its i-th row at the time (i + u) / w, where u is a fraction fixed by a hash of the source, and
-rows go by time: each source keeps its own weight, however many there are. When a source runs out, the others share its weight from that slot on, so every document
-appears exactly once. Only DataFrame functions touch the rows.
+Weights are rounded to multiples of 1 / ``period``, so that the schedule of one period repeats (a source strays at
+most half a block a period from its unrounded share). It is worked out on the driver for at most ``components``
+sources and all listed ones, whatever the number of rows; blocks then find their slots by joins with it. All
+other sources are one component, of the sum of their weights. In it a source of weight w has its i-th row at the
+time (i + u) / w, where u is a fraction fixed by a hash of the source, and rows go by time: each source keeps its
+own weight, however many there are. When a source runs out, the others share its weight from that slot on, so
+every document appears exactly once; sources of weight zero come after all others. Only DataFrame functions
+touch the rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions
+
+#: The columns that a schedule adds.
+ADDED = ("component", "block", "place", "phase", "release", "deadline", "slot", "position")
+
 
 @dataclass(frozen=True)
 class MixConfig:
@@ -35,18 +42,18 @@ class MixConfig:
     temperature: float = 0.5
     components: int = 64
     block: int = 32
-    period: int = 1000
+    period: int = 16_384
     bucket: int = 4_000
     seed: int = 11
 
 
-def edf(shares: dict[int, int], period: int) -> list[tuple[int, int]]:
-    """(component, block) for each slot of one period; the shares are whole numbers that add up to it."""
+def edf(shares: dict[int, int], period: int, slots: int | None = None) -> list[tuple[int, int]]:
+    """(component, block) for the first slots of a period (None: all); the shares are whole numbers that add up to it."""
     waiting = [(0, -(-period // a), c, 0) for c, a in shares.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
     out = []
-    for slot in range(period):
+    for slot in range(period if slots is None else min(slots, period)):
         while waiting and waiting[0][0] <= slot:
             _, deadline, c, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, c, i))
@@ -77,16 +84,20 @@ def plan(blocks: dict[int, int], weights: dict[int, float], period: int) -> tupl
     left, at, first = dict(blocks), 0, dict.fromkeys(blocks, 0)
     phases, slots = [], []
     phase = 0
-    while active := {c: weights[c] for c, n in left.items() if n}:
+    while open_ := {c: weights[c] for c, n in left.items() if n}:
+        active = {c: w for c, w in open_.items() if w > 0} or dict.fromkeys(open_, 1.0)
         shares = whole_shares(active, period)
         table: dict[int, list[int]] = {c: [] for c in active}
-        for slot, (c, _) in enumerate(edf(shares, period)):
+        for slot, (c, _) in enumerate(edf(shares, period, sum(left[c] for c in active))):
             table[c].append(slot)
-        end = min((left[c] - 1) // shares[c] * period + table[c][(left[c] - 1) % shares[c]] for c in active) + 1
+        # a component that the slots worked out don't reach the end of can't be the first to run out
+        ends = [(left[c] - 1) // shares[c] * period + table[c][(left[c] - 1) % shares[c]] for c in active if (left[c] - 1) % shares[c] < len(table[c])]
+        end = min(ends) + 1
         for c in active:
             used = end // period * shares[c] + sum(s < end % period for s in table[c])
-            phases.append((c, phase, first[c], used, at, shares[c]))
-            slots += [(c, phase, j, s) for j, s in enumerate(table[c])]
+            if used:
+                phases.append((c, phase, first[c], used, at, shares[c]))
+                slots += [(c, phase, j, s) for j, s in enumerate(table[c][:used])]
             left[c] -= used
             first[c] += used
         at += end
@@ -98,11 +109,17 @@ def schedule(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The columns of docs and component, block, place (in the block), phase, release, deadline, slot and
     position (slot * block + place; the order of the mixture). A column of docs by one of these names is left out.
 
-    A null source is a source. Rows that repeat doc_id are scheduled one by one. An empty table gives no rows.
+    A null or empty source is a source like any other; texts of any length, null or empty, are only carried along.
+    Rows that repeat doc_id, and rows without one, are scheduled one by one; among them the order is by a hash of
+    the text, if docs has it. Sources of equal size go by name. An empty table gives no rows.
     """
+    return _scheduled(docs, config)[0]
+
+
+def _scheduled(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, int]:
+    """The schedule, and a bound of its positions."""
     spark = docs.sparkSession
-    new = ["component", "block", "place", "phase", "release", "deadline", "slot", "position"]
-    names = [c for c in docs.columns if c not in new]
+    names = [c for c in docs.columns if c.lower() not in ADDED]
     counted = docs.groupBy(F.col("source").alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source"))
     listed = dict(config.weights) if config.weights is not None else None
     if listed is None:
@@ -120,8 +137,6 @@ def schedule(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         sizes[others] = rest
         weights[others] = powers if listed is None else config.rest
     period = max(config.period, 4 * len(sizes))
-    floor = max(weights.values(), default=1.0) / period  # a weight of zero still comes last, never not at all
-    weights = {c: max(w, floor) for c, w in weights.items()}
     blocks = {c: -(-n // config.block) for c, n in sizes.items()}
     phases, slots = plan(blocks, weights, period)
     named = spark.createDataFrame(members, "component int, named string, n long").drop("n")
@@ -129,7 +144,10 @@ def schedule(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     phase_table = phase_table.groupBy("component").agg(F.collect_list(F.struct("first", "blocks", "phase", "start", "share")).alias("phases"))
     slot_table = spark.createDataFrame(slots, "component int, phase int, j long, at long")
 
-    base = docs.select(*[F.col(f"`{c}`") for c in names]).join(F.broadcast(named), F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
+    # a row travels as one struct, so that no column of docs meets a name used here
+    tie = F.xxhash64("text") if "text" in names else F.lit(0).cast("long")
+    own_columns = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("source").alias("__source"), F.col("doc_id").alias("__id"), tie.alias("__tie")]
+    base = docs.select(*own_columns).join(F.broadcast(named), F.col("__source").eqNullSafe(F.col("named")), "left").drop("named")
     base = base.withColumn("component", F.coalesce("component", F.lit(others)))
     buckets = max(1, total // config.bucket)
     numbered = _numbered(base.where(F.col("component") < others), buckets, config)
@@ -142,12 +160,13 @@ def schedule(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     found = found.withColumn("j", F.col("__i") % F.col("__p.share")).join(F.broadcast(slot_table), ["component", "phase", "j"])
     share, start, i, n = F.col("__p.share"), F.col("__p.start"), F.col("__i"), F.lit(period)
     slot = start + F.floor(i / share) * n + F.col("at")
-    return found.select(
-        *[F.col(f"`{c}`") for c in names], "component", "block", "place", "phase",
+    out = found.select(
+        *[F.col(f"__row.`{c}`").alias(c) for c in names], "component", "block", "place", "phase",
         (start + _div(i * n, share)).alias("release"),
         (start + _div((i + 1) * n + share - 1, share)).alias("deadline"),
         slot.alias("slot"), (slot * config.block + F.col("place")).alias("position"),
     )
+    return out, sum(blocks.values()) * config.block
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -160,11 +179,11 @@ def _numbered(rows: DataFrame, buckets: int, config: MixConfig, by: str = "compo
 
     Hash buckets split a component, however large, over many tasks; a small table holds the rows before each.
     """
-    hashed = rows.withColumn("__h", F.xxhash64("doc_id", F.lit(config.seed))).withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(buckets)).cast("long"))
-    return _ranked(hashed, by, ["__h", "doc_id"]).drop("__h", "__b")
+    hashed = rows.withColumn("__h", F.xxhash64("__id", F.lit(config.seed))).withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(buckets)).cast("long"))
+    return _ranked(hashed, by, ["__h", "__id", "__tie"]).drop("__h", "__b")
 
 
-def _ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+def _ranked(rows: DataFrame, by: str, order: list) -> DataFrame:
     """__index: the row's number among those of one ``by``, by the bucket __b and the order in it."""
     counts = rows.groupBy(by, "__b").agg(F.count("*").alias("n"))
     before = counts.select(by, "__b", (F.sum("n").over(Window.partitionBy(by).orderBy("__b")) - F.col("n")).alias("before"))
@@ -177,8 +196,9 @@ def _by_weights(rows: DataFrame, counted: DataFrame, buckets: int, powers: float
 
     ``powers`` is the sum of the weights, so that at most about ``bucket`` rows have their time in one bucket.
     """
-    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    weights = counted.select(key.alias("__s"), F.pow("n", F.lit(config.temperature)).alias("__w"))
+    name = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))
+    key = name("__source")
+    weights = counted.select(name("source").alias("__s"), F.pow("n", F.lit(config.temperature)).alias("__w"))
     numbered = _numbered(rows.withColumn("__s", key), buckets, config, "__s").join(weights, "__s")
     offset = F.shiftrightunsigned(F.xxhash64("__s", F.lit(config.seed)), 11) / float(1 << 53)
     timed = numbered.withColumn("__t", (F.col("__index") + offset) / F.col("__w")).withColumn("__b", F.floor(F.col("__t") * powers / config.bucket))
@@ -188,5 +208,14 @@ def _by_weights(rows: DataFrame, counted: DataFrame, buckets: int, powers: float
 
 
 def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The rows of docs in the order of the mixture."""
-    return schedule(docs, config).orderBy("position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs in the order of the mixture: partition after partition, by position.
+
+    Positions are dense, so that equal ranges of them are partitions of equal size; no sample is drawn. Nulls,
+    ties, repeated rows and empty tables: see ``schedule``. All columns of docs come back, whatever their names.
+    """
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ADDED}
+    found, end = _scheduled(docs.withColumnsRenamed(own), config)
+    n = partitions(docs.sparkSession)
+    part = F.least(F.lit(n - 1), F.floor(F.col("position") * n / F.lit(max(1, end)))).cast("int")
+    ordered = found.repartitionById(n, part).sortWithinPartitions("position")
+    return ordered.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -86,3 +86,48 @@ def test_many_sources(spark):
     for i in range(64):
         share = 1.8 * (20 if i < 4 else 10 if i < 24 else 2)
         assert abs(first[f"h{i}"] - share) <= 4, (i, first[f"h{i}"], share)
+
+
+def test_weights_of_zero_come_last(spark):
+    rows = [(i, "abc"[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    config = mx.MixConfig(weights=(("a", 0.7), ("b", 0.3)), block=4, bucket=50)
+    got = mx.schedule(docs, config).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    check(got, config)
+    assert min(r.position for r in got if r.source == "c") > max(r.position for r in got if r.source != "c")
+
+
+def test_whole_schedule(spark):
+    """Every slot against a plain earliest-deadline-first run over all blocks."""
+    rows = [(i, "aaaabbbccd"[i % 10]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    config = mx.MixConfig(block=4, period=400, bucket=100)
+    got = {(r.component, r.block): r for r in mx.schedule(docs, config).collect()}
+    sizes = Counter(s for _, s in rows)
+    order = sorted(sizes, key=lambda s: (-sizes[s], s))
+    left = {c: -(-sizes[s] // 4) for c, s in enumerate(order)}
+    weights = {c: sizes[s] ** 0.5 for c, s in enumerate(order)}
+    done, slot = Counter(), 0
+    while active := [c for c in left if left[c]]:
+        shares, start, own = mx.whole_shares({c: weights[c] for c in active}, 400), slot, Counter()
+        while all(left[c] for c in active):
+            at = slot - start
+            ready = [(-(-(own[c] + 1) * 400 // shares[c]), c) for c in active if own[c] * 400 // shares[c] <= at]
+            deadline, c = min(ready)
+            r = got[c, done[c]]
+            assert (r.slot, r.deadline, r.release) == (slot, start + deadline, start + own[c] * 400 // shares[c])
+            own[c] += 1
+            done[c] += 1
+            left[c] -= 1
+            slot += 1
+    assert slot == len(got)
+
+
+def test_clashing_columns_nulls_and_repeats(spark):
+    rows = [(1, "x", "a", 7, 1, 2), (1, "x", "a", 7, 1, 2), (1, "y", "a", 8, 1, 2), (None, None, None, 9, 1, 2), (2, "", "", 0, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Position int, j int, at int")
+    got = mx.mixed(docs, mx.MixConfig(block=1))
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter(rows)
+    assert mx.mixed(docs.limit(0)).count() == 0
