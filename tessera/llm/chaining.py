@@ -31,7 +31,8 @@ from . import wordhash as wh
 from .common import Stage, as_bytes, int64, key_filter, may_be_in, partitions, slices
 from .grouping import groups
 
-CHUNK = 1 << 21
+#: Bytes of text that numpy works on at once: its arrays of eight bytes a letter stay small.
+CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)

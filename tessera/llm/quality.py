@@ -23,7 +23,8 @@ from . import wordhash as wh
 from .common import as_bytes, schema_with, slices, small_batches
 
 BITS = 18
-CHUNK = 1 << 21
+#: Bytes of text that numpy works on at once: its arrays of eight bytes a letter stay small.
+CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)

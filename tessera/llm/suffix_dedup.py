@@ -33,7 +33,8 @@ from .common import Stage, as_bytes, int64, partitions, slices
 from .grouping import groups
 
 LEAD = 32
-CHUNK = 1 << 21
+#: Bytes of text that numpy works on at once: its arrays of eight bytes a letter stay small.
+CHUNK = 1 << 16
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
 WORDS = ["k0", "k1", "k2", "k3"]
