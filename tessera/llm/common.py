@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,10 +20,13 @@ ARROW_ROWS = 1024
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (local tests) a temporary folder is made and kept for the session.
+    Where the setting is absent a temporary folder is made, for a session whose executor is the driver itself
+    only; on a cluster the setting has to be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.local.checkpoint", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("tessera.local.checkpoint", base)
         spark.sparkContext.setCheckpointDir(base)
