@@ -5,24 +5,26 @@ and each position gets the length of the longest item run that ends there. A pos
 least ``window`` ends an occurrence of a whole window (``window`` consecutive words of an item); an item
 with fewer words is one window by itself. Words inside any such occurrence are hit.
 
-The automaton is broadcast. Its size is that of the benchmark, which is counted first: items are dealt
-into shards of at most ``shard_words`` words, each with an automaton of its own, and a document streams
-through one shard after the other.
+Items are dealt by hash into shards of about ``shard_words`` words. One shard's texts at a time are broadcast, and
+each worker builds and keeps that shard's automaton only, so that memory doesn't grow with the benchmark. With
+several shards the documents stream through one after the other; what each finds is written by a hash of the text
+(128 bits) and comes together before spans are merged or cut.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import as_bytes, int64, schema_with, small_batches
+from .common import Stage, as_bytes, int64, schema_with, small_batches
 
 #: Words of A-Z-lowered text: everything but ASCII non-alphanumerics.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -30,7 +32,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 @dataclass(frozen=True)
 class DecontamConfig:
-    """window: words that make an occurrence. shard_words: item words in one broadcast automaton.
+    """window: words that make an occurrence. shard_words: about the item words in one automaton.
 
     max_coverage: share of hit words above which ``remove_spans`` drops the whole document.
     """
@@ -43,7 +45,7 @@ class DecontamConfig:
 class Automaton:
     """Suffix automaton over item words; word numbers are local to it."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.moves: list[dict[int, int]] = [{}]
@@ -62,7 +64,7 @@ class Automaton:
             for c in numbers:
                 last = self._extend(last, c)
         # what ends where: the items that have the window, by the state and length of the window
-        self.ends: dict[tuple[int, int], set[str]] = {}
+        self.ends: dict[tuple[int, int], set[str | None]] = {}
         for item, numbers in runs:
             need = min(window, len(numbers))
             state = size = 0
@@ -120,12 +122,12 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Occurrences as (first word, word after the last), and the items whose windows occur."""
         get = self.vocabulary.get
         numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         if not len(self.vocabulary):
             return spans, found
         for a, b in self._regions(numbers):
@@ -134,7 +136,7 @@ class Automaton:
                 state, size = self.step(state, size, c)
                 if size >= self.shortest:
                     for need in self.needs:
-                        if size >= need and (items := self.ends.get((self._holder(state, need), need))):
+                        if size >= need and (items := self.ends.get((self._holder(state, need), need))) is not None:
                             spans.append((i + 1 - need, i + 1))
                             found |= items
         return spans, found
@@ -156,66 +158,115 @@ class Automaton:
         yield from zip(starts[long].tolist(), ends[long].tolist())
 
 
-def benchmark_shards(benchmark: DataFrame, config: DecontamConfig) -> list[list[tuple[str, list[bytes]]]]:
-    """The items' words, dealt into shards of a bounded number of words."""
-    shards: list[list] = [[]]
-    size = 0
-    for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text").orderBy("item", "text").toLocalIterator():
-        words = WORD.findall((r["text"] or "").encode().lower())
-        if size and size + len(words) > config.shard_words:
-            shards.append([])
-            size = 0
-        shards[-1].append((r["item"], words))
-        size += len(words)
-    return shards
+def benchmark_shards(benchmark: DataFrame, config: DecontamConfig) -> list[DataFrame]:
+    """(item, text) of each shard; the ids of items are strings."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    n = max(1, -(-int(items.agg(F.sum(words)).first()[0] or 0) // config.shard_words))
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _broadcast(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig) -> list:
-    spark = docs.sparkSession
-    small_batches(spark)
-    return [spark.sparkContext.broadcast(Automaton(items, config.window)) for items in benchmark_shards(benchmark, config)]
+#: The automaton that this worker built last, and which shard it is of.
+_BUILT: dict[str, Automaton] = {}
 
 
-def _scan(text: bytes, shared: list) -> tuple[int, set[str], list[tuple[int, int]]]:
-    """Number of words, items found and merged spans of one text."""
+class Shard:
+    """One shard's texts on their way to the workers."""
+
+    def __init__(self, items: DataFrame, window: int):
+        rows = [(r["item"], r["text"]) for r in items.orderBy("item", "text").collect()]  # about shard_words words
+        self.name, self.window = uuid.uuid4().hex, window
+        self.shared = items.sparkSession.sparkContext.broadcast(rows)
+
+    def automaton(self) -> Automaton:
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.name] = Automaton([(item, WORD.findall(text.encode().lower())) for item, text in self.shared.value], self.window)
+        return _BUILT[self.name]
+
+
+def _scan(text: bytes, automaton: Automaton) -> tuple[int, list[str | None], list[tuple[int, int]]]:
+    """Number of words, items found (a null id comes last) and merged spans of one text."""
     words = WORD.findall(text.lower())
-    found: set[str] = set()
-    spans: list[tuple[int, int]] = []
-    for part in shared:
-        got, items = part.value.scan(words)
-        spans += got
-        found |= items
-    return len(words), found, merge(spans)
+    spans, found = automaton.scan(words)
+    return len(words), _sorted_items(found), merge(spans)
+
+
+def _sorted_items(found: set[str | None]) -> list[str | None]:
+    return sorted(x for x in found if x is not None) + [None] * (None in found)
+
+
+_FOUND = "items array<string>, spans array<array<bigint>>"
+
+
+def _text_key() -> list[Column]:
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("__k0"), F.xxhash64(text, F.lit(1)).alias("__k1")]
+
+
+def _with_found(docs: DataFrame, shards: list[Shard], stage: Stage) -> DataFrame:
+    """docs, and __found: what each of the shards has found in the text, for several shards."""
+    found = None
+    for k, shard in enumerate(shards):
+
+        def run(batches: Iterator[pa.RecordBatch], shard: Shard = shard) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = [_scan(t, shard.automaton()) for t in as_bytes(batch.column("text"))]
+                hit = [i for i, d in enumerate(done) if d[2]]
+                columns = [batch.column(c).take(pa.array(hit, pa.int64())) for c in ("__k0", "__k1")]
+                columns += [pa.array([done[i][1] for i in hit], pa.list_(pa.string())), pa.array([[list(x) for x in done[i][2]] for i in hit], pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, ["__k0", "__k1", "items", "spans"])
+
+        here = stage.write(docs.select("text", *_text_key()).mapInArrow(run, f"__k0 long, __k1 long, {_FOUND}"), f"shard-{k}")
+        found = here if found is None else found.unionByName(here)
+    # rows with one text give each shard's result again; a text has one of each shard
+    each = found.distinct().groupBy("__k0", "__k1").agg(F.collect_list(F.struct("items", "spans")).alias("__found"))
+    return docs.withColumns(dict(zip(("__k0", "__k1"), _text_key()))).join(each, ["__k0", "__k1"], "left").drop("__k0", "__k1")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig, make: Callable, schema: StructType) -> DataFrame:
+    """mapInArrow over docs of make(batch, results), where results are the number of words, items and spans of each row."""
+    small_batches(docs.sparkSession)
+    shards = [Shard(items, config.window) for items in benchmark_shards(benchmark, config)]
+    if len(shards) > 1:
+        docs = _with_found(docs, shards, Stage(docs.sparkSession, "decontaminate"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            if len(shards) == 1:
+                yield make(batch, [_scan(t, shards[0].automaton()) for t in texts])
+            else:
+                results = []
+                for text, found in zip(texts, batch.column("__found").to_pylist()):
+                    items = _sorted_items({i for f in found or () for i in f["items"]})
+                    results.append((len(WORD.findall(text.lower())), items, merge([tuple(x) for f in found or () for x in f["spans"]])))
+                yield make(batch.drop_columns(["__found"]), results)
+
+    return docs.mapInArrow(run, schema)
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """The columns of docs without text, n_words, n_hit, items (array, sorted as
-    strings) and spans (array of [first word, word after the last], merged). One row for each row of docs.
+    """The columns of docs without text, n_words, n_hit, items (array, sorted as strings) and spans (array of
+    [first word, word after the last], merged). One row for each row of docs, repeated rows included.
 
-    A null or empty text has no words; an empty benchmark hits nothing. Columns of docs that bear one of
-    the new names are left out.
+    A null or empty text has no words; texts of any length are scanned whole, one at a time. An empty table of
+    documents gives no rows, an empty benchmark hits nothing. An item without words has no window; one with a null
+    id counts like any other and stands in items as a null. Items that share an id are one item in items. Columns
+    of docs that bear one of the new names are left out.
     """
-    shared = _broadcast(docs, benchmark, config)
     new = ("n_words", "n_hit", "items", "spans")
     names = [c for c in docs.columns if c not in new]
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     kept = [c for c in names if c != "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in as_bytes(batch.column("text")):
-                n, found, merged = _scan(text, shared)
-                n_words.append(n)
-                n_hit.append(sum(b - a for a, b in merged))
-                items.append(sorted(found))
-                spans.append([list(x) for x in merged])
-            columns = [batch.column(c) for c in kept]
-            columns += [int64(n_words), int64(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
+    def make(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
+        columns = [batch.column(c) for c in kept]
+        columns += [int64([n for n, _, _ in results]), int64([sum(b - a for a, b in spans) for _, _, spans in results])]
+        columns += [pa.array([items for _, items, _ in results], pa.list_(pa.string())), pa.array([[list(x) for x in spans] for _, _, spans in results], pa.list_(pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, [*kept, *new])
 
-    schema = schema_with(base.select(*[F.col(f"`{c}`") for c in kept]), "n_words long, n_hit long, items array<string>, spans array<array<bigint>>")
-    return base.mapInArrow(run, schema)
+    return _scanned(base, benchmark, config, make, schema_with(base.select(*[F.col(f"`{c}`") for c in kept]), f"n_words long, n_hit long, {_FOUND}"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -229,7 +280,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document.
+
+    Nulls, empty and long texts, repeated rows and empty tables: see ``scan_documents``. A null item_id counts in
+    n_items and has no part in items_sha256. Columns of docs other than doc_id and text are left out.
+    """
     found = scan_documents(docs.select("doc_id", "text"), benchmark, config)
     joined = F.concat_ws(",", "items")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -239,29 +294,27 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig =
     """The documents with hit words, and what stands between them, cut out of their texts.
 
     A document more than ``max_coverage`` of whose words are hit is dropped whole. Documents without hits
-    stay as they are, byte for byte. ``n_chars``, if docs has it, follows the new text.
+    stay as they are, byte for byte. ``n_chars``, if docs has it, follows the new text. All other columns, whatever
+    their names, are kept; repeated rows stay repeated; null and empty texts have no hits.
     """
-    shared = _broadcast(docs, benchmark, config)
     names, limit = docs.columns, config.max_coverage
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep, new = as_bytes(batch.column("text")), [], {}
-            for i, text in enumerate(texts):
-                n, _, spans = _scan(text, shared)
-                if sum(b - a for a, b in spans) <= limit * n:
-                    keep.append(i)
-                    if spans:
-                        new[i] = _without(text, spans)
-            if new:
-                text = [new.get(i, t) for i, t in enumerate(batch.column("text").to_pylist())]
-                batch = batch.set_column(names.index("text"), "text", pa.array(text, pa.string()))
-                if "n_chars" in names:
-                    n_chars = [len(new[i]) if i in new else n for i, n in enumerate(batch.column("n_chars").to_pylist())]
-                    batch = batch.set_column(names.index("n_chars"), "n_chars", pa.array(n_chars, batch.schema.field("n_chars").type))
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def make(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
+        keep, new = [], {}
+        for i, (n, _, spans) in enumerate(results):
+            if sum(b - a for a, b in spans) <= limit * n:
+                keep.append(i)
+                if spans:
+                    new[i] = _without(batch.column("text")[i].as_py().encode(), spans)
+        if new:
+            text = [new.get(i, t) for i, t in enumerate(batch.column("text").to_pylist())]
+            batch = batch.set_column(names.index("text"), "text", pa.array(text, pa.string()))
+            if "n_chars" in names:
+                n_chars = [len(new[i]) if i in new else n for i, n in enumerate(batch.column("n_chars").to_pylist())]
+                batch = batch.set_column(names.index("n_chars"), "n_chars", pa.array(n_chars, batch.schema.field("n_chars").type))
+        return batch.take(pa.array(keep, pa.int64()))
+
+    return _scanned(docs, benchmark, config, make, docs.schema)
 
 
 def _without(text: bytes, spans: list[list[int]]) -> str:

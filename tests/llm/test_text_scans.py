@@ -116,7 +116,7 @@ def random_case(seed):
 
 
 @pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("shard_words", [5, 10_000])
+@pytest.mark.parametrize("shard_words", [15, 10_000])
 def test_contamination_random(spark, seed, shard_words):
     docs, items = random_case(seed)
     window = 3 + seed
@@ -140,3 +140,17 @@ def test_decontaminate_edges(spark):
     assert 21 not in got and got[4].text == "word " * 30_000 and got[0].text is None and got[20]["items"] == "x"
     assert dc.contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert dc.contamination(docs_of(spark, []), items).count() == 0
+
+
+@pytest.mark.parametrize("shard_words", [4, 10_000])
+def test_items_without_id_count(spark, shard_words):
+    own = "p q r s t u v w x1 y1 z1 a1"
+    items = spark.createDataFrame([(None, own), (None, "lone"), (7, "a b c"), (7, "lone")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, own), (1, own), (2, "Lone words"), (3, None), (None, "d a b c e")], "doc_id long, text string")
+    config = dc.DecontamConfig(shard_words=shard_words)
+    got = dc.contamination(docs, items, config).orderBy("doc_id").collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(None, 5, 3, 1, digest("7"), True)] + [(1, 12, 12, 1, digest(""), True)] * 2 + [(2, 2, 1, 2, digest("7"), True), (3, 0, 0, 0, digest(""), False)]
+    assert list(map(tuple, got)) == want
+    left = sorted((r.doc_id or 0, r.text) for r in dc.remove_spans(docs, items, config).collect() if r.doc_id != 3)
+    assert left == [(2, " words")]
