@@ -4,7 +4,9 @@
    the least hash is a seed, so that equal passages of ``k + window - 1`` words share a seed at the same place.
 2. Matches. Equal seeds meet by a shuffle on their hash. The first place (smallest doc_id, then position)
    stands for the seed and every other document's place is matched with it: a seed that very many documents
-   share gives one match for each of them, and no task needs to hold them together.
+   share gives one match for each of them, and no task needs to hold them together. Seeds of a share of all
+   documents (``hot``) that makes one task's work stand out don't meet: their first places are an aggregate with
+   map-side combine and go out to all places.
 3. Chains. For two documents, matches on one diagonal that overlap are joined to anchors, and anchors in
    rising order in both documents are chained for the best score: words matched, less ``gap`` for each word
    passed over in either document. A Fenwick tree over the first document's positions holds the best chain
@@ -31,6 +33,10 @@ from . import wordhash as wh
 from .common import Stage, as_bytes, int64, key_filter, may_be_in, partitions, slices
 from .grouping import groups
 
+#: Keys from here on stand for rows whose doc_id isn't their key.
+ODD = 1 << 62
+#: Most hot seeds that go out to all places: 5 MB.
+MOST = 200_000
 #: Bytes of text that numpy works on at once: its arrays of eight bytes a letter stay small.
 CHUNK = 1 << 16
 
@@ -39,7 +45,7 @@ CHUNK = 1 << 16
 class ChainConfig:
     """min_words: least words of a passage in both documents. identity: least share of the longer passage that
     the common subsequence covers. margin: words fetched on either side of a chain. requests: passages of one
-    document that one task cuts out."""
+    document that one task cuts out. hot: share of documents from which a seed's places stay where they are."""
 
     k: int = 6
     window: int = 10
@@ -48,6 +54,7 @@ class ChainConfig:
     identity: float = 0.7
     margin: int = 64
     requests: int = 2000
+    hot: float = 0.005
 
 
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
@@ -79,23 +86,75 @@ def seeds_of(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.nda
     return grams[places], places
 
 
+class _Places:
+    """Batches of (seed, doc, pos), with notes of seeds that may be hot.
+
+    A place that isn't the seed's first in its document is written ~pos. A row without doc is a note: the
+    number of places of a seed in one batch of documents, or without seed the number of documents.
+    """
+
+    SCHEMA = "seed long, doc long, pos int"
+    #: Places in a batch of documents from which a seed is noted: most batches have none.
+    LEAST = 6
+
+    def __init__(self) -> None:
+        self.seeds: list[np.ndarray] = []
+        self.docs = 0
+
+    def rows(self, seed: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        """Rows of whole documents, one after the other."""
+        again = np.zeros(len(seed), bool)
+        ordered = np.sort(seed)
+        twice = np.flatnonzero(np.isin(seed, ordered[1:][ordered[1:] == ordered[:-1]]))
+        if len(twice):
+            at = twice[np.lexsort([pos[twice], seed[twice], doc[twice]])]
+            again[at[1:]] = (seed[at[1:]] == seed[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]])
+        self.seeds.append(seed[~again])
+        return pa.RecordBatch.from_arrays([int64(seed), int64(doc), pa.array(np.where(again, ~pos, pos).astype(np.int32))], ["seed", "doc", "pos"])
+
+    def notes(self) -> pa.RecordBatch:
+        seed, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.seeds]), return_counts=True)
+        seed, n = seed[n >= self.LEAST], n[n >= self.LEAST]
+        columns = [pa.array([None, *seed.tolist()], pa.int64()), pa.nulls(len(seed) + 1, pa.int64()), pa.array([self.docs, *n.tolist()], pa.int32())]
+        self.seeds, self.docs = [], 0
+        return pa.RecordBatch.from_arrays(columns, ["seed", "doc", "pos"])
+
+
 def seeds(docs: DataFrame, config: ChainConfig) -> DataFrame:
-    """(seed, doc, pos) of every document with a doc_id."""
+    """(seed, doc, pos) of every document, and notes, as ``_Places`` writes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places()
         for batch in batches:
             texts, ids = as_bytes(batch.column("text")), batch.column("doc").to_pylist()
             for a, b in slices(map(len, texts), CHUNK):
                 out = [seeds_of(w, config.k, config.window) for w in word_hashes(texts[a:b])]
                 doc = np.repeat(np.array(ids[a:b], np.int64), [len(p) for _, p in out])
-                hashes = np.concatenate([h for h, _ in out]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([int64(hashes), int64(doc), pa.array(np.concatenate([p for _, p in out]).astype(np.int32))], ["seed", "doc", "pos"])
+                yield places.rows(np.concatenate([h for h, _ in out]).view(np.int64), doc, np.concatenate([p for _, p in out]))
+            places.docs += len(texts)
+            yield places.notes()
+
+    return docs.select("doc", "text").mapInArrow(run, _Places.SCHEMA)
 
-    return docs.select("doc", "text").mapInArrow(run, "seed long, doc long, pos int")
 
+def matches(found: DataFrame, config: ChainConfig) -> DataFrame:
+    """(b, a, pb, pa): each seed's places in documents b other than its first place, in a; b may be a.
 
-def matches(found: DataFrame) -> DataFrame:
-    """(b, a, pb, pa): each seed's places in documents b other than its first place, in a; b may be a."""
+    found is read several times and should be a written table.
+    """
+    notes, rows = found.where("doc is null"), found.where("doc is not null")
+    total = notes.where("seed is null").agg(F.sum("pos")).first()[0] or 0
+    # a seed's shares add up to the seeds of a document, so that hot ones are few; any beyond MOST go the other way
+    hot = notes.where("seed is not null").groupBy("seed").agg(F.sum("pos").alias("n")).where(F.col("n") >= max(2 * _Places.LEAST, config.hot * total))
+    hot = F.broadcast(hot.orderBy(F.desc("n"), "seed").limit(MOST).select("seed"))
+    firsts = rows.join(hot, "seed", "left_semi").groupBy("seed").agg(F.min("doc").alias("a"), F.min_by("pos", F.when(F.col("pos") >= 0, F.col("doc"))).alias("pa"))
+    plain = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
+    spread = rows.join(F.broadcast(firsts), "seed").select(F.col("doc").alias("b"), "a", plain.alias("pb"), "pa").where("b <> a or pb <> pa")
+    return _stars(rows.join(hot, "seed", "left_anti").select("seed", "doc", plain.alias("pos"))).unionByName(spread)
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    """The matches of seeds that meet: each is a stream of its places in order."""
     spark = found.sparkSession
     names = ["b", "a", "pb", "pa"]
 
@@ -277,35 +336,58 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, config: ChainConfig) -> DataFra
         for batch in batches:
             for text, wanted in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist()):
                 words = word_hashes([text])[0].astype("<u4")
-                out = [(w["chain"], w["side"], max(0, w["from"]), words[max(0, w["from"]) : w["to"]].tobytes()) for w in wanted]
-                for a in range(0, len(out), 4096):
+                sizes = [4 * (min(w["to"], len(words)) - max(0, w["from"])) for w in wanted]
+                for a, b in slices(sizes, 1 << 20):
+                    out = [(w["chain"], w["side"], max(0, w["from"]), words[max(0, w["from"]) : w["to"]].tobytes()) for w in wanted[a:b]]
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 4096]), kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return joined.mapInArrow(run, "chain long, side int, at int, words binary")
 
 
+def _keyed(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(doc, text) with a key for each distinct row, and (key, id) of the rows whose key isn't their doc_id.
+
+    A doc_id that may occur again, is null or negative or doesn't fit has a hash of doc_id and text as its key,
+    above all others; rows that repeat doc_id and text are one.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    fits = f"id >= 0 and id < {ODD}L"
+    repeated = base.where(fits).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    # a null is among the keys, and stands for all ids that don't fit
+    bits = key_filter(repeated.select(F.col("id").alias("key")).unionByName(docs.sparkSession.range(1).selectExpr("cast(null as bigint) key")))
+    key = F.xxhash64("id", "text").bitwiseAND(F.lit(ODD - 1)).bitwiseOR(F.lit(ODD))
+    odd = stage.write(may_be_in(base, f"if({fits}, id, null)", bits).distinct().withColumn("key", key), "odd")
+    plain = may_be_in(base.where(fits), "id", bits, False).select(F.col("id").alias("doc"), "text")
+    return plain.unionByName(odd.select(F.col("key").alias("doc"), "text")), odd.select("key", "id")
+
+
 def passages(docs: DataFrame, config: ChainConfig = ChainConfig(), stage: Stage | None = None) -> DataFrame:
     """doc_id, start, end, rep_id, rep_start, rep_end, score, anchors, identity: passages of doc_id (words start
-    to end, from 0) and the like passages of rep_id, a document with a smaller id that stands for their class.
-
-    Passages shared by many documents are linked to their representatives, not with each other. Repeats
-    within one document aren't looked for. Rows without doc_id or words have no passages; rows that repeat a
-    doc_id are read as one document only if their texts are equal, else the greatest text counts.
+    to end, from 0) and the like passages of rep_id, an earlier document that stands for their class.
+
+    Documents go by doc_id; those whose doc_id is null, negative or occurs again with another text come after all
+    others, each row a document of its own. Rows that repeat doc_id and text are one document. Passages shared by
+    many documents are linked to their representatives, not with each other; repeats within one document are no
+    shared passages. Null and empty texts, and texts of fewer than ``min_words`` words, have none; longer texts are
+    searched whole, whatever their length. Of equal chains all are kept. An empty table gives no rows, and other
+    columns of docs are left out.
     """
     stage = stage or Stage(docs.sparkSession, "passages")
-    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    repeated = base.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
-    if not repeated.isEmpty():
-        base = base.groupBy("doc").agg(F.max("text").alias("text"))
-    found = stage.write(matches(seeds(base, config)), "matches")
+    base, odd = _keyed(docs, stage)
+    found = stage.write(matches(stage.write(seeds(base, config), "seeds"), config), "matches")
+    stage.drop("seeds")
     first = stage.write(_aligned(base, chains(found.where("a <> b"), config), config, stage, ""), "passages")
     runs = _stretches(base, found, first, config, stage)
-    if runs is None:
-        return first
-    # a chain for each run: gaps would cost more than any run can score
-    alone = replace(config, k=config.min_words, gap=1e6)
-    return first.unionByName(_aligned(base, chains(runs, alone), config, stage, "-runs"))
+    stage.drop("matches")
+    if runs is not None:
+        # a chain for each run: gaps would cost more than any run can score
+        alone = replace(config, k=config.min_words, gap=1e6)
+        first = first.unionByName(_aligned(base, chains(runs, alone), config, stage, "-runs"))
+    names = first.columns
+    for c in ("doc_id", "rep_id"):
+        first = first.join(odd.select(F.col("key").alias(c), F.col("id").alias("__id"), F.lit(True).alias("__odd")), c, "left").withColumn(c, F.when(F.col("__odd"), F.col("__id")).otherwise(F.col(c))).drop("__id", "__odd")
+    return first.select(*names)
 
 
 def _stretches(base: DataFrame, found: DataFrame, first: DataFrame, config: ChainConfig, stage: Stage) -> DataFrame | None:
@@ -320,7 +402,9 @@ def _stretches(base: DataFrame, found: DataFrame, first: DataFrame, config: Chai
 
     def run_of(only_open: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = _Places()
             for batch in batches:
+                places.docs += batch.num_rows
                 columns = (batch.column(c).to_pylist() for c in ("doc", "again", "covered"))
                 for text, doc, again, covered in zip(as_bytes(batch.column("text")), *columns):
                     words = word_hashes([text])[0]
@@ -332,15 +416,19 @@ def _stretches(base: DataFrame, found: DataFrame, first: DataFrame, config: Chai
                         at = at[np.maximum.accumulate(reach)[at] < at + config.min_words]
                     if len(at):
                         keys = wh.ngram_hashes(words, config.min_words)[at].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([int64(keys), int64(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["seed", "doc", "pos"])
+                        yield places.rows(keys, np.full(len(at), doc), at)
+                yield places.notes()
 
-        return base.join(known, "doc").select("doc", "text", "again", "covered").mapInArrow(run, "seed long, doc long, pos int")
+        return base.join(known, "doc").select("doc", "text", "again", "covered").mapInArrow(run, _Places.SCHEMA)
 
-    open_ = stage.write(run_of(True), "open")
+    open_ = stage.write(run_of(True).where("doc is not null"), "open")
     if open_.isEmpty():
         return None
-    runs = may_be_in(run_of(False), "seed", key_filter(open_.select(F.col("seed").alias("key"))))
-    return matches(runs).where("a <> b").join(open_.select(F.col("doc").alias("b"), F.col("pos").alias("pb")), ["b", "pb"], "left_semi").select("b", "a", "pb", "pa")
+    # the note without seed passes too
+    wanted = open_.select(F.col("seed").alias("key")).unionByName(base.sparkSession.range(1).selectExpr("cast(null as bigint) key"))
+    runs = stage.write(may_be_in(run_of(False), "seed", key_filter(wanted)), "runs")
+    own = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
+    return matches(runs, config).where("a <> b").join(open_.select(F.col("doc").alias("b"), own.alias("pb")), ["b", "pb"], "left_semi").select("b", "a", "pb", "pa")
 
 
 def _runs_that_may_repeat(words: np.ndarray, again: list[int], config: ChainConfig) -> np.ndarray:

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch handed to Python; bounds a worker's memory with long texts.
 ARROW_ROWS = 1024
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for texts of any length."""
+    """Keeps Arrow batches small enough for texts of any length, by rows and by bytes.
+
+    The setting stays: a DataFrame that an operator returns runs later, in the caller's hands.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 class Stage:

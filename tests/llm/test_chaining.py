@@ -58,9 +58,11 @@ def test_planted(spark, requests):
     got = ch.passages(docs, ch.ChainConfig(requests=requests)).collect()
     seen = {r.doc_id for r in got} | {r.rep_id for r in got}
     assert {i for v in truth.values() for i in v} <= seen and {200, 203, 204} <= seen
+    # rows without doc_id come after all others
+    assert any(r.doc_id is None and r.rep_id == 1 and r.identity == 1.0 for r in got)
     for r in got:
-        assert r.rep_id < r.doc_id and r.identity >= 0.7 and r.end - r.start >= 40
-    linked = {(r.rep_id, r.doc_id) for r in got}
+        assert r.rep_id is not None and (r.doc_id is None or r.rep_id < r.doc_id) and r.identity >= 0.7 and r.end - r.start >= 40
+    linked = {(r.rep_id, r.doc_id) for r in got if r.doc_id is not None}
     of = {i: k for k, v in truth.items() for i in v}
     assert all(of.get(a, a) == of.get(b, b) or b >= 200 for a, b in linked)
     words = dict(rows)[1].lower().split()
@@ -70,6 +72,20 @@ def test_planted(spark, requests):
     assert ch.passages(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_and_hot_seeds(spark):
+    """Every row is searched, whatever its doc_id, and hot seeds give the same matches as others."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 50_000, n))
+    common, other = draw(60), draw(60)
+    rows = [(i, f"{draw(20)} {common} {draw(20)}") for i in range(60)] + [(7, f"{other} {draw(5)}"), (7, "zzz"), (100, other), (None, other), (None, other), (-5, f"{common} x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    config = ch.ChainConfig(hot=0.1)
+    got = {tuple(r) for r in ch.passages(docs, config).collect()}
+    assert got == {tuple(r) for r in ch.passages(docs, ch.ChainConfig(hot=2.0)).collect()}
+    pairs = {(r[0], r[3]) for r in got}
+    assert {(i, 0) for i in range(1, 60)} <= pairs and {(7, 100), (None, 100), (-5, 0)} <= pairs
+
+
 def test_stock_sentences(spark):
     """Passages whose parts all occurred earlier, in different documents."""
     rng = np.random.default_rng(6)
