@@ -6,7 +6,7 @@ shard at least. A shard's fingerprints stand in a BK-tree: the children of a nod
 integer Hamming distance to it, and a search follows only edges within the radius of the query's distance.
 Shards come to the tasks by a shuffle on their keys; the trees together grow with the corpus, so that they
 aren't broadcast. A shard that is too large for one tree is cut anew into finer blocks, which is exact for
-the same reason and ends with shards of at most 2**13 fingerprints.
+the same reason and ends with shards of at most 2**14 fingerprints (the most that the free bits allow).
 
 ``near_duplicates`` works on shingle sets: shards are keyed by sketches of small parts of the set, the
 BK-tree of each proposes links, and only links whose Jaccard similarity is high enough count. Small shards
@@ -167,7 +167,7 @@ def links(fps: DataFrame, stage: Stage, config: SimHashConfig = SimHashConfig())
     while True:
         masks = block_masks(blocks, config.radius)
         last = blocks >= config.radius + 8
-        most = 1 << 13 if last else config.tree
+        most = max(1 << (64 - mask.bit_count()) for mask in masks) if last else config.tree
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, (values,), first, end in groups(batches, ["table", "key"], ["fp"], most):
@@ -192,8 +192,10 @@ def deduplicate(docs: DataFrame, config: SimHashConfig = SimHashConfig(), stage:
     """doc_id, fingerprint, component_id for every row of docs.
 
     Rows with one fingerprint are linked; so are rows whose fingerprints differ by at most ``radius`` bits.
-    component_id is the smallest doc_id reachable. A null text has no words and fingerprint zero. A null
-    doc_id is kept, and isn't a component's smallest id unless there is no other.
+    component_id is the smallest doc_id reachable. A null text has no words and fingerprint zero; texts of any
+    length are read whole. A null doc_id is kept, and isn't a component's smallest id unless there is no other.
+    Rows that repeat doc_id are rows of their own. An empty table gives no rows; other columns of docs, whatever
+    their names, are left out.
     """
     stage = stage or Stage(docs.sparkSession, "simhash")
     all_fps = stage.write(fingerprints(docs, config), "fingerprints")
