@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import Stage, as_bytes, int64, partitions, slices
+from .common import Stage, as_bytes, int64, key_filter, may_be_in, partitions, slices
 from .grouping import groups
 
 LEAD = 32
@@ -43,10 +43,11 @@ WORDS = ["k0", "k1", "k2", "k3"]
 @dataclass(frozen=True)
 class RepeatConfig:
     """length: bytes of a repeated string, at least 33. group: most different stretches of one lead that are
-    compared in one task; leads with more are dealt out by window."""
+    compared in one task; leads with more are dealt out by window. bucket: about the most suffixes of a bucket."""
 
     length: int = 400
     group: int = 4096
+    bucket: int = 200_000
 
 
 def lead_hashes(buf: np.ndarray) -> np.ndarray:
@@ -93,10 +94,10 @@ def owners(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(found, axis=1))
 
 
-def text_key(doc_id: int | None, text: bytes) -> int:
-    """Tells apart rows that share a doc_id but not the text."""
-    x = xxhash.xxh3_64_intdigest(text, (doc_id or 0) & (2**64 - 1))
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc, row, text): row tells apart rows that share a doc_id (null: NO_ID) but not the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text")).select("doc", F.xxhash64("text").alias("row"), "text")
 
 
 def _suffixes(docs: DataFrame, config: RepeatConfig) -> DataFrame:
@@ -106,7 +107,7 @@ def _suffixes(docs: DataFrame, config: RepeatConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_digest
         for batch in batches:
-            texts, ids = as_bytes(batch.column("text")), batch.column("doc").to_pylist()
+            texts, ids, rows = as_bytes(batch.column("text")), np.asarray(batch.column("doc")), np.asarray(batch.column("row"))
             for a, b in slices(map(len, texts), CHUNK):
                 part = texts[a:b]
                 doc, place, lo, hi = owners(part, config.length)
@@ -115,12 +116,10 @@ def _suffixes(docs: DataFrame, config: RepeatConfig) -> DataFrame:
                 leads = b"".join([part[d][p : p + LEAD] for d, p in zip(doc.tolist(), place.tolist())])
                 words = np.frombuffer(leads, ">i8").reshape(-1, 4).astype(np.int64)
                 spans = np.frombuffer(b"".join([digest(part[d][x : y + config.length]) for d, x, y in zip(doc.tolist(), lo.tolist(), hi.tolist())]), ">i8").astype(np.int64)
-                keys = np.array([text_key(i, t) for i, t in zip(ids[a:b], part)], np.int64)
-                columns = [int64(words[:, k]) for k in range(4)] + [int64(spans), int64(np.array(ids[a:b])[doc]), int64(keys[doc])]
+                columns = [int64(words[:, k]) for k in range(4)] + [int64(spans), int64(ids[a:b][doc]), int64(rows[a:b][doc])]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in (place, lo, hi))], names)
 
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    return base.mapInArrow(run, "k0 long, k1 long, k2 long, k3 long, span long, doc long, row long, place int, lo int, hi int")
+    return _rows(docs).mapInArrow(run, "k0 long, k1 long, k2 long, k3 long, span long, doc long, row long, place int, lo int, hi int")
 
 
 def multikey_quicksort(words: list[np.ndarray]) -> np.ndarray:
@@ -148,7 +147,7 @@ def multikey_quicksort(words: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _sorted_buckets(suffixes: DataFrame) -> DataFrame:
+def _sorted_buckets(suffixes: DataFrame, config: RepeatConfig) -> DataFrame:
     """Covered (kind 0), open (1) and boundary (2) suffixes; those whose lead occurs once are gone.
 
     An open lead keeps one suffix of each stretch that is covered as well, to compare with. Stretches can go
@@ -157,7 +156,8 @@ def _sorted_buckets(suffixes: DataFrame) -> DataFrame:
     """
     spark = suffixes.sparkSession
     names = suffixes.columns
-    dealt = suffixes.repartitionByRange(partitions(spark), *WORDS, "span", "doc", "row", "place")
+    buckets = max(partitions(spark), -(-suffixes.count() // config.bucket))  # a written table
+    dealt = suffixes.repartitionByRange(buckets, *WORDS, "span", "doc", "row", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -201,23 +201,20 @@ def _settle_edges(edges: DataFrame) -> DataFrame:
 def _with_bytes(docs: DataFrame, open_: DataFrame, config: RepeatConfig) -> DataFrame:
     """(lead, doc, row, place, lo, hi, data) of the open suffixes: data are the bytes of the stretch."""
     items = open_.select(F.xxhash64(*WORDS).alias("lead"), "doc", "row", "place", "lo", "hi")
-    per_doc = items.groupBy("doc").agg(F.collect_list(F.struct("row", "lead", "place", "lo", "hi")).alias("items"))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    per_row = items.groupBy("doc", "row").agg(F.collect_list(F.struct("lead", "place", "lo", "hi")).alias("items"))
     names = ["lead", "doc", "row", "place", "lo", "hi", "data"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, items in zip(batch.column("doc").to_pylist(), as_bytes(batch.column("text")), batch.column("items").to_pylist()):
-                row = text_key(doc, text)
-                out += [(i["lead"], doc, row, i["place"], i["lo"], i["hi"], text[i["lo"] : i["hi"] + config.length]) for i in items if i["row"] == row]
-            for a in range(0, len(out), 4096):
-                columns = list(zip(*out[a : a + 4096]))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    joined = base.join(per_doc, "doc").select("doc", "text", "items")
-    # rows that repeat a text give its suffixes again
+            for doc, row, text, items in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), as_bytes(batch.column("text")), batch.column("items").to_pylist()):
+                for a, b in slices([i["hi"] - i["lo"] + config.length for i in items], 1 << 20):
+                    out = [(i["lead"], doc, row, i["place"], i["lo"], i["hi"], text[i["lo"] : i["hi"] + config.length]) for i in items[a:b]]
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    # rows that repeat a text give its suffixes again; texts without open suffixes stay where they are
+    bits = key_filter(open_.select(F.col("row").alias("key")).distinct())
+    joined = may_be_in(_rows(docs), "row", bits).join(per_row, ["doc", "row"]).select("doc", "row", "text", "items")
     return joined.mapInArrow(cut, "lead long, doc long, row long, place int, lo int, hi int, data binary")
 
 
@@ -282,7 +279,7 @@ def _compare_open(stretches: DataFrame, stage: Stage, config: RepeatConfig) -> D
 def covered_intervals(docs: DataFrame, stage: Stage, config: RepeatConfig = RepeatConfig()) -> DataFrame:
     """(doc, row, a, b): stretches of bytes, which may overlap, that repeated strings cover."""
     suffixes = stage.write(_suffixes(docs, config), "suffixes")
-    sorted_ = stage.write(_sorted_buckets(suffixes), "sorted")
+    sorted_ = stage.write(_sorted_buckets(suffixes, config), "sorted")
     stage.drop("suffixes")
     settled = stage.write(sorted_.where("kind < 2").unionByName(_settle_edges(sorted_.where("kind = 2"))), "settled")
     stage.drop("sorted")
@@ -306,23 +303,27 @@ def _united(intervals: list) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), stage: Stage | None = None, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary), or with ``digest`` kept_sha256, for every row.
 
-    kept are the bytes that are left; they may end inside a character. A null text is empty. Rows that repeat
-    doc_id and text repeat each other's strings like any others. Other columns of docs are left out.
+    kept are the bytes that are left; they may end inside a character. A null text is empty; texts shorter than
+    ``length`` bytes stay whole, longer ones are searched whole, whatever their length. Rows that repeat doc_id and
+    text repeat each other's strings like any others, and rows without doc_id are documents like any others. Of
+    equal strings all go, the first one too, so that there are no ties. An empty table gives no rows; other columns
+    of docs, whatever their names, are left out.
     """
     stage = stage or Stage(docs.sparkSession, "repeats")
-    found = covered_intervals(docs, stage, config).groupBy("doc").agg(F.collect_set(F.struct("row", "a", "b")).alias("found"))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    joined = base.join(found, "doc", "left").select("doc", "text", "found")
+    found = stage.write(covered_intervals(docs, stage, config).groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("found")), "found")
+    bits = key_filter(found.select(F.col("row").alias("key")))
+    untouched = may_be_in(_rows(docs), "row", bits, False).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+    joined = may_be_in(_rows(docs), "row", bits).join(found, ["doc", "row"], "left").select("doc", "row", "text", "found")
+    joined = untouched.unionByName(joined).select("doc", "text", "found")
     last = "kept_sha256 string" if digest else "kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, kept = [], [], [], []
-            for doc, text, found in zip(batch.column("doc").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist()):
+            for text, found in zip(as_bytes(batch.column("text")), batch.column("found").to_pylist()):
                 cut: list[tuple[int, int]] = []
                 if found:
-                    row = text_key(doc, text)
-                    cut = _united([(f["a"], f["b"]) for f in found if f["row"] == row])
+                    cut = _united([(f["a"], f["b"]) for f in found])
                 parts, at = [], 0
                 for a, b in cut:
                     parts.append(text[at:a])
