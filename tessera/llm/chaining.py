@@ -7,22 +7,22 @@
    share gives one match for each of them, and no task needs to hold them together. Seeds of a share of all
    documents (``hot``) that makes one task's work stand out don't meet: their first places are an aggregate with
    map-side combine and go out to all places.
-3. Chains. For two documents, matches on one diagonal that overlap are joined to anchors, and anchors in
+3. Runs. Where the seeds of a passage occurred earlier in different documents, the matches with each of them are
+   too few. So the run of ``min_words`` words that begins with a seed that occurs again is matched in the same way:
+   every equal run of ``min_words + window - 1`` words that an earlier document has too is matched with one.
+4. Chains. For two documents, matches on one diagonal that overlap are joined to anchors, and anchors in
    rising order in both documents are chained for the best score: words matched, less ``gap`` for each word
    passed over in either document. A Fenwick tree over the first document's positions holds the best chain
    that ends at or before each.
-4. Alignment. The words around each chain are fetched, its ends are extended while matches outweigh
-   mismatches, and a bit-parallel longest common subsequence gives the identity of the passages.
-5. Stretches. Where the seeds of a passage occurred earlier in different documents, the matches with each of
-   them are too few. So the runs of ``min_words`` words that may occur in two documents (all their seeds occur
-   again) and that no passage found covers are matched as the seeds are, by their first place: every run of
-   ``min_words`` equal words that a document with a smaller doc_id has too lies in a passage.
+5. Alignment. The words around each chain are cut out of the later document and sent to the earlier one, the
+   chain's ends are extended while matches outweigh mismatches, and a bit-parallel longest common subsequence
+   gives the identity of the passages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,7 @@ CHUNK = 1 << 16
 @dataclass(frozen=True)
 class ChainConfig:
     """min_words: least words of a passage in both documents. identity: least share of the longer passage that
-    the common subsequence covers. margin: words fetched on either side of a chain. requests: passages of one
-    document that one task cuts out. hot: share of documents from which a seed's places stay where they are."""
+    the common subsequence covers. margin: words looked at on either side of a chain. hot: share of documents from which a seed's places stay where they are."""
 
     k: int = 6
     window: int = 10
@@ -53,7 +52,6 @@ class ChainConfig:
     min_words: int = 40
     identity: float = 0.7
     margin: int = 64
-    requests: int = 2000
     hot: float = 0.005
 
 
@@ -86,97 +84,113 @@ def seeds_of(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.nda
     return grams[places], places
 
 
-class _Places:
-    """Batches of (seed, doc, pos), with notes of seeds that may be hot.
+#: A place of a seed: run is the hash of the run of min_words words that begins there, null if there is none.
+PLACE = "seed long, doc long, pos int, run long"
+#: Places in a batch of documents from which a seed is noted as perhaps hot: most batches have none.
+NOTED = 6
 
-    A place that isn't the seed's first in its document is written ~pos. A row without doc is a note: the
-    number of places of a seed in one batch of documents, or without seed the number of documents.
-    """
 
-    SCHEMA = "seed long, doc long, pos int"
-    #: Places in a batch of documents from which a seed is noted: most batches have none.
-    LEAST = 6
-
-    def __init__(self) -> None:
-        self.seeds: list[np.ndarray] = []
-        self.docs = 0
-
-    def rows(self, seed: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        """Rows of whole documents, one after the other."""
-        again = np.zeros(len(seed), bool)
-        ordered = np.sort(seed)
-        twice = np.flatnonzero(np.isin(seed, ordered[1:][ordered[1:] == ordered[:-1]]))
-        if len(twice):
-            at = twice[np.lexsort([pos[twice], seed[twice], doc[twice]])]
-            again[at[1:]] = (seed[at[1:]] == seed[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]])
-        self.seeds.append(seed[~again])
-        return pa.RecordBatch.from_arrays([int64(seed), int64(doc), pa.array(np.where(again, ~pos, pos).astype(np.int32))], ["seed", "doc", "pos"])
-
-    def notes(self) -> pa.RecordBatch:
-        seed, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.seeds]), return_counts=True)
-        seed, n = seed[n >= self.LEAST], n[n >= self.LEAST]
-        columns = [pa.array([None, *seed.tolist()], pa.int64()), pa.nulls(len(seed) + 1, pa.int64()), pa.array([self.docs, *n.tolist()], pa.int32())]
-        self.seeds, self.docs = [], 0
-        return pa.RecordBatch.from_arrays(columns, ["seed", "doc", "pos"])
+def _places(out: list[tuple[np.ndarray, ...]], ids: list[int]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    """Rows of documents' seeds (hash, place, run, whether there is a run), and the hashes, once a document.
+
+    A place that isn't the seed's first in its document is written ~pos.
+    """
+    seed, pos, run, whole = (np.concatenate(x) for x in zip(*out))
+    seed, run, doc = seed.view(np.int64), run.view(np.int64), np.repeat(np.array(ids, np.int64), [len(x[0]) for x in out])
+    again = np.zeros(len(seed), bool)
+    ordered = np.sort(seed)
+    twice = np.flatnonzero(np.isin(seed, ordered[1:][ordered[1:] == ordered[:-1]]))
+    if len(twice):
+        at = twice[np.lexsort([pos[twice], seed[twice], doc[twice]])]
+        again[at[1:]] = (seed[at[1:]] == seed[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]])
+    columns = [int64(seed), int64(doc), pa.array(np.where(again, ~pos, pos).astype(np.int32)), pa.array(run, pa.int64(), mask=~whole)]
+    return pa.RecordBatch.from_arrays(columns, ["seed", "doc", "pos", "run"]), [seed[~again], run[whole & ~again]]
+
+
+def _notes(hashes: list[np.ndarray], docs: int) -> pa.RecordBatch:
+    """Rows without doc: the places of a seed or run in one batch of documents, and without seed the documents."""
+    seed, n = np.unique(np.concatenate([np.zeros(0, np.int64), *hashes]), return_counts=True)
+    seed, n = seed[n >= NOTED], n[n >= NOTED]
+    none = pa.nulls(len(seed) + 1, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([None, *seed.tolist()], pa.int64()), none, pa.array([docs, *n.tolist()], pa.int32()), none], ["seed", "doc", "pos", "run"])
 
 
 def seeds(docs: DataFrame, config: ChainConfig) -> DataFrame:
-    """(seed, doc, pos) of every document, and notes, as ``_Places`` writes them."""
+    """(seed, doc, pos, run) of every document, and notes."""
+
+    def of(words: np.ndarray) -> tuple[np.ndarray, ...]:
+        seed, pos = seeds_of(words, config.k, config.window)
+        runs = wh.ngram_hashes(words, config.min_words)
+        whole = pos < len(runs)
+        return seed, pos, np.where(whole, runs[np.minimum(pos, max(0, len(runs) - 1))] if len(runs) else np.uint64(0), np.uint64(0)).astype(np.uint64), whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places()
         for batch in batches:
-            texts, ids = as_bytes(batch.column("text")), batch.column("doc").to_pylist()
+            texts, ids, hashes = as_bytes(batch.column("text")), batch.column("doc").to_pylist(), []
             for a, b in slices(map(len, texts), CHUNK):
-                out = [seeds_of(w, config.k, config.window) for w in word_hashes(texts[a:b])]
-                doc = np.repeat(np.array(ids[a:b], np.int64), [len(p) for _, p in out])
-                yield places.rows(np.concatenate([h for h, _ in out]).view(np.int64), doc, np.concatenate([p for _, p in out]))
-            places.docs += len(texts)
-            yield places.notes()
+                rows, found = _places([of(w) for w in word_hashes(texts[a:b])], ids[a:b])
+                hashes += found
+                yield rows
+            yield _notes(hashes, len(texts))
 
-    return docs.select("doc", "text").mapInArrow(run, _Places.SCHEMA)
+    return docs.select("doc", "text").mapInArrow(run, PLACE)
 
 
-def matches(found: DataFrame, config: ChainConfig) -> DataFrame:
-    """(b, a, pb, pa): each seed's places in documents b other than its first place, in a; b may be a.
+def hot_seeds(found: DataFrame, config: ChainConfig) -> DataFrame:
+    """(seed): seeds and runs of a share of the documents.
 
-    found is read several times and should be a written table.
+    A seed's shares add up to the seeds of a document, so that hot ones are few. It makes no difference to the
+    result which seeds are among them; any beyond MOST meet like all others.
     """
-    notes, rows = found.where("doc is null"), found.where("doc is not null")
+    notes = found.where("doc is null")
     total = notes.where("seed is null").agg(F.sum("pos")).first()[0] or 0
-    # a seed's shares add up to the seeds of a document, so that hot ones are few; any beyond MOST go the other way
-    hot = notes.where("seed is not null").groupBy("seed").agg(F.sum("pos").alias("n")).where(F.col("n") >= max(2 * _Places.LEAST, config.hot * total))
-    hot = F.broadcast(hot.orderBy(F.desc("n"), "seed").limit(MOST).select("seed"))
-    firsts = rows.join(hot, "seed", "left_semi").groupBy("seed").agg(F.min("doc").alias("a"), F.min_by("pos", F.when(F.col("pos") >= 0, F.col("doc"))).alias("pa"))
+    hot = notes.where("seed is not null").groupBy("seed").agg(F.sum("pos").alias("n")).where(F.col("n") >= max(2 * NOTED, config.hot * total))
+    return hot.orderBy(F.desc("n"), "seed").limit(MOST).select("seed")
+
+
+def matches(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """(b, a, pb, pa, run): the places (doc, pos) of each seed that has several, with its first place (a, pa),
+    which is a row itself. found is read several times and should be a written table."""
+    rows = found.where("doc is not null")
     plain = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    spread = rows.join(F.broadcast(firsts), "seed").select(F.col("doc").alias("b"), "a", plain.alias("pb"), "pa").where("b <> a or pb <> pa")
-    return _stars(rows.join(hot, "seed", "left_anti").select("seed", "doc", plain.alias("pos"))).unionByName(spread)
+    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "seed", "left")
+    firsts = marked.where("hot").groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.min_by("pos", F.when(F.col("pos") >= 0, F.col("doc"))).alias("pa"))
+    # at most MOST rows
+    spread = rows.join(F.broadcast(firsts), "seed", "left").where("n > 1").select(F.col("doc").alias("b"), "a", plain.alias("pb"), "pa", "run")
+    return _stars(marked.where("hot is null").select("seed", "doc", plain.alias("pos"), "run")).unionByName(spread)
 
 
 def _stars(found: DataFrame) -> DataFrame:
     """The matches of seeds that meet: each is a stream of its places in order."""
     spark = found.sparkSession
-    names = ["b", "a", "pb", "pa"]
+    names = ["b", "a", "pb", "pa", "run"]
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the first place of the seed that the batch before ended with
+        last = None  # the seed and first place that the batch before ended with, and whether that row is still to come
         for batch in batches:
             if not batch.num_rows:
                 continue
             seed, doc, pos = (np.asarray(batch.column(c)) for c in ("seed", "doc", "pos"))
-            new = np.concatenate([[True], seed[1:] != seed[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(seed)), 0))
-            a, pa_ = doc[first], pos[first]
-            if last is not None and last[0] == seed[0]:
-                own = first == 0
-                a, pa_ = np.where(own, last[1], a), np.where(own, last[2], pa_)
-            other = (a != doc) | (pa_ != pos)
-            last = (seed[-1], a[-1], pa_[-1])
-            if other.any():
-                yield pa.RecordBatch.from_arrays([int64(doc[other]), int64(a[other]), pa.array(pos[other].astype(np.int32)), pa.array(pa_[other].astype(np.int32))], names)
+            new = np.concatenate([[last is None or last[0] != seed[0]], seed[1:] != seed[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(seed)), -1))
+            a, pa_ = np.where(start < 0, last[1] if last else 0, doc[start]), np.where(start < 0, last[2] if last else 0, pos[start])
+            single = new & np.concatenate([new[1:], [False]])  # of the last row it isn't known yet
+            open_ = bool(new[-1])
+            if last is not None and last[3] is not None and not new[0]:
+                yield last[3]
+            emit = ~single
+            if open_:
+                emit[-1] = False
+            out = [int64(doc[emit]), int64(a[emit]), pa.array(pos[emit].astype(np.int32)), pa.array(pa_[emit].astype(np.int32)), batch.column("run").filter(pa.array(emit))]
+            yield pa.RecordBatch.from_arrays(out, names)
+            waiting = None
+            if open_:
+                end = batch.num_rows - 1
+                waiting = pa.RecordBatch.from_arrays([int64(doc[end:]), int64(doc[end:]), pa.array(pos[end:].astype(np.int32)), pa.array(pos[end:].astype(np.int32)), batch.column("run").slice(end)], names)
+            last = (seed[-1], a[-1], pa_[-1], waiting)
 
     dealt = found.repartition(partitions(spark), "seed").sortWithinPartitions("seed", "doc", "pos")
-    return dealt.mapInArrow(star, "b long, a long, pb int, pa int")
+    return dealt.mapInArrow(star, "b long, a long, pb int, pa int, run long")
 
 
 class Fenwick:
@@ -202,13 +216,17 @@ class Fenwick:
         return out
 
 
-def anchors_of(pa_: np.ndarray, pb: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(a, b, words): matches on one diagonal that overlap or touch, joined."""
+def anchors_of(pa_: np.ndarray, pb: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int]]:
+    """(a, b, words): matches of ``size`` words on one diagonal that overlap or touch, joined."""
     order = np.lexsort([pb, pb - pa_])
     a, b = pa_[order].astype(np.int64), pb[order].astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], (b[1:] - a[1:] != b[:-1] - a[:-1]) | (b[1:] > b[:-1] + k)]))
+    new = np.concatenate([[True], b[1:] - a[1:] != b[:-1] - a[:-1]])
+    # the furthest end so far on the diagonal: diagonals are set apart by a step that no end reaches
+    step = (np.cumsum(new) - 1) * (1 << 32)
+    reach = np.maximum.accumulate(b + size[order] + step) - step
+    cut = np.flatnonzero(new | np.concatenate([[True], b[1:] > reach[:-1]]))
     last = np.concatenate([cut[1:], [len(a)]]) - 1
-    return sorted(zip(a[cut].tolist(), b[cut].tolist(), (b[last] + k - b[cut]).tolist()), key=lambda x: (x[1], x[0]))
+    return sorted(zip(a[cut].tolist(), b[cut].tolist(), (reach[last] - b[cut]).tolist()), key=lambda x: (x[1], x[0]))
 
 
 def chains_of(anchors: list[tuple[int, int, int]], gap: float) -> list[tuple[float, list[tuple[int, int, int]]]]:
@@ -247,29 +265,44 @@ def chains_of(anchors: list[tuple[int, int, int]], gap: float) -> list[tuple[flo
     return out
 
 
+CHAIN = "a long, b0 int, b1 int, a0 int, a1 int, score double, anchors int"
+
+
 def chains(found: DataFrame, config: ChainConfig) -> DataFrame:
-    """(b, a, b0, b1, a0, a1, score, anchors): word extents of every chain."""
+    """(b, chains): the word extents of every chain of b with another document that may reach min_words.
+
+    found are matches (b, a, pb, pa, size). Those of one document are at most its seeds and runs.
+    """
     spark = found.sparkSession
-    names = ["b", "a", "b0", "b1", "a0", "a1", "score", "anchors"]
+    kind = pa.list_(pa.struct([("a", pa.int64()), *((n, pa.int32()) for n in ("b0", "b1", "a0", "a1")), ("score", pa.float64()), ("anchors", pa.int32())]))
+    least = config.min_words - 2 * config.margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for (b, a), (pb, pa_), _, _ in groups(batches, ["b", "a"], ["pb", "pa"], 1 << 30):
-            for score, chain in chains_of(anchors_of(pa_, pb, config.k), config.gap):
-                rows.append((b, a, chain[0][1], chain[-1][1] + chain[-1][2], chain[0][0], chain[-1][0] + chain[-1][2], score, len(chain)))
-            if len(rows) > 4096:
-                yield packed(rows)
-                rows = []
-        if rows:
-            yield packed(rows)
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    # matches of a pair: at most those of the smaller document's seeds
-    dealt = found.repartition(partitions(spark), "b", "a").sortWithinPartitions("b", "a", "pb", "pa")
-    return dealt.mapInArrow(run, "b long, a long, b0 int, b1 int, a0 int, a1 int, score double, anchors int")
+        ids: list[int] = []
+        rows: list[list[dict]] = []
+        held = 0
+        for (b, a), (pb, pa_, size), _, _ in groups(batches, ["b", "a"], ["pb", "pa", "size"], 1 << 30):
+            own = []
+            for score, chain in chains_of(anchors_of(pa_, pb, size), config.gap):
+                b0, b1, a0, a1 = chain[0][1], max(y + w for _, y, w in chain), chain[0][0], max(x + w for x, _, w in chain)
+                if min(b1 - b0, a1 - a0) >= least:
+                    own.append({"a": a, "b0": b0, "b1": b1, "a0": a0, "a1": a1, "score": score, "anchors": len(chain)})
+            if not own:
+                continue
+            if ids and ids[-1] == b:
+                rows[-1] += own
+            else:
+                if held > 4096:
+                    yield pa.RecordBatch.from_arrays([int64(ids), pa.array(rows, kind)], ["b", "chains"])
+                    ids, rows, held = [], [], 0
+                ids.append(b)
+                rows.append(own)
+            held += len(own)
+        if ids:
+            yield pa.RecordBatch.from_arrays([int64(ids), pa.array(rows, kind)], ["b", "chains"])
+
+    dealt = found.repartition(partitions(spark), "b").sortWithinPartitions("b", "a", "pb", "pa")
+    return dealt.mapInArrow(run, f"b long, chains array<struct<{CHAIN.replace(' ', ':').replace(',:', ', ')}>>")
 
 
 def common_words(x: np.ndarray, y: np.ndarray) -> int:
@@ -321,30 +354,6 @@ def extended(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
         i, j = i + best[2] + best[1], j + best[3] + best[1]
 
 
-def _cut_out(docs: DataFrame, wanted: DataFrame, config: ChainConfig) -> DataFrame:
-    """(chain, side, at, words): the word hashes from..to of each request (doc, chain, side, from, to).
-
-    A document that very many chains ask for is repeated, once for each ``requests`` of them.
-    """
-    parts = wanted.groupBy("doc").agg(F.ceil(F.count("*") / config.requests).cast("int").alias("parts"))
-    salted = wanted.join(parts, "doc").withColumn("part", F.pmod(F.xxhash64("chain", "side"), F.col("parts")).cast("int"))
-    lists = salted.groupBy("doc", "part").agg(F.collect_list(F.struct("chain", "side", "from", "to")).alias("wanted"))
-    joined = docs.join(lists, "doc").select("text", "wanted")
-    names = ["chain", "side", "at", "words"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, wanted in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist()):
-                words = word_hashes([text])[0].astype("<u4")
-                sizes = [4 * (min(w["to"], len(words)) - max(0, w["from"])) for w in wanted]
-                for a, b in slices(sizes, 1 << 20):
-                    out = [(w["chain"], w["side"], max(0, w["from"]), words[max(0, w["from"]) : w["to"]].tobytes()) for w in wanted[a:b]]
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-    return joined.mapInArrow(run, "chain long, side int, at int, words binary")
-
-
 def _keyed(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """(doc, text) with a key for each distinct row, and (key, id) of the rows whose key isn't their doc_id.
 
@@ -375,103 +384,69 @@ def passages(docs: DataFrame, config: ChainConfig = ChainConfig(), stage: Stage
     """
     stage = stage or Stage(docs.sparkSession, "passages")
     base, odd = _keyed(docs, stage)
-    found = stage.write(matches(stage.write(seeds(base, config), "seeds"), config), "matches")
+    places = stage.write(seeds(base, config), "seeds")
+    hot = stage.write(hot_seeds(places, config), "hot")
+    found = stage.write(matches(places, hot), "matches")
     stage.drop("seeds")
-    first = stage.write(_aligned(base, chains(found.where("a <> b"), config), config, stage, ""), "passages")
-    runs = _stretches(base, found, first, config, stage)
+    # places of runs: only those whose seed occurs again; a place is among the matches once
+    runs = matches(found.where("run is not null").select(F.col("run").alias("seed"), F.col("b").alias("doc"), F.col("pb").alias("pos"), F.lit(None).cast("long").alias("run")), hot)
+    both = found.withColumn("size", F.lit(config.k)).unionByName(runs.withColumn("size", F.lit(config.min_words))).drop("run")
+    linked = stage.write(chains(both.where("a <> b"), config), "chains")
     stage.drop("matches")
-    if runs is not None:
-        # a chain for each run: gaps would cost more than any run can score
-        alone = replace(config, k=config.min_words, gap=1e6)
-        first = first.unionByName(_aligned(base, chains(runs, alone), config, stage, "-runs"))
+    first = _aligned(base, linked, config)
     names = first.columns
     for c in ("doc_id", "rep_id"):
         first = first.join(odd.select(F.col("key").alias(c), F.col("id").alias("__id"), F.lit(True).alias("__odd")), c, "left").withColumn(c, F.when(F.col("__odd"), F.col("__id")).otherwise(F.col(c))).drop("__id", "__odd")
     return first.select(*names)
 
 
-def _stretches(base: DataFrame, found: DataFrame, first: DataFrame, config: ChainConfig, stage: Stage) -> DataFrame | None:
-    """Matches (b, a, pb, pa) of equal runs of min_words words where no passage covers the run in b."""
-    again = found.select(F.col("b").alias("doc"), F.col("pb").alias("pos")).unionByName(found.select(F.col("a").alias("doc"), F.col("pa").alias("pos"))).distinct()
-    again = again.groupBy("doc").agg(F.collect_list("pos").alias("again"))
-    sides = first.select(F.col("doc_id").alias("doc"), "start", "end").unionByName(first.select(F.col("rep_id").alias("doc"), F.col("rep_start").alias("start"), F.col("rep_end").alias("end")))
-    # the longest passage of each 64 starts, so that the list doesn't grow with the number of documents
-    longest = sides.groupBy("doc", F.floor(F.col("start") / 64).alias("part")).agg(F.max_by(F.struct("start", "end"), F.col("end") - F.col("start")).alias("p"))
-    covered = longest.groupBy("doc").agg(F.collect_list("p").alias("covered"))
-    known = stage.write(again.where(F.size("again") > 1).join(covered, "doc", "left"), "again")
-
-    def run_of(only_open: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            places = _Places()
-            for batch in batches:
-                places.docs += batch.num_rows
-                columns = (batch.column(c).to_pylist() for c in ("doc", "again", "covered"))
-                for text, doc, again, covered in zip(as_bytes(batch.column("text")), *columns):
-                    words = word_hashes([text])[0]
-                    at = _runs_that_may_repeat(words, again, config)
-                    if only_open and covered:
-                        reach = np.zeros(len(words), np.int64)  # the end of the passage that reaches furthest
-                        for p in covered:
-                            reach[p["start"]] = max(reach[p["start"]], p["end"])
-                        at = at[np.maximum.accumulate(reach)[at] < at + config.min_words]
-                    if len(at):
-                        keys = wh.ngram_hashes(words, config.min_words)[at].view(np.int64)
-                        yield places.rows(keys, np.full(len(at), doc), at)
-                yield places.notes()
-
-        return base.join(known, "doc").select("doc", "text", "again", "covered").mapInArrow(run, _Places.SCHEMA)
-
-    open_ = stage.write(run_of(True).where("doc is not null"), "open")
-    if open_.isEmpty():
-        return None
-    # the note without seed passes too
-    wanted = open_.select(F.col("seed").alias("key")).unionByName(base.sparkSession.range(1).selectExpr("cast(null as bigint) key"))
-    runs = stage.write(may_be_in(run_of(False), "seed", key_filter(wanted)), "runs")
-    own = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    return matches(runs, config).where("a <> b").join(open_.select(F.col("doc").alias("b"), own.alias("pb")), ["b", "pb"], "left_semi").select("b", "a", "pb", "pa")
-
-
-def _runs_that_may_repeat(words: np.ndarray, again: list[int], config: ChainConfig) -> np.ndarray:
-    """Starts of the runs of min_words words whose own seeds all occur again."""
-    n = len(words) - config.min_words + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    places = seeds_of(words, config.k, config.window)[1]
-    once = np.zeros(len(words) + 1, np.int64)
-    once[np.setdiff1d(places, np.array(again, np.int64)) + 1] = 1
-    before = np.cumsum(once)
-    # only seeds that are least in a window within the run belong to it: those at least a window from its ends
-    low, high = config.window - 1, config.min_words - config.k + 1 - (config.window - 1)
-    at = np.arange(n)
-    return at[before[at + max(low, high)] == before[at + low]]
-
-
-def _aligned(base: DataFrame, linked: DataFrame, config: ChainConfig, stage: Stage, name: str) -> DataFrame:
-    """The passages that chains extend to."""
-    reach = 2 * config.margin
-    long = (F.col("b1") - F.col("b0") + reach >= config.min_words) & (F.col("a1") - F.col("a0") + reach >= config.min_words)
-    linked = stage.write(linked.where(long).withColumn("chain", F.xxhash64("a", "b", "a0", "b0", "a1", "b1")), f"chains{name}")
-    sides = [F.struct(F.col(s).alias("doc"), F.col("chain"), F.lit(i).alias("side"), (F.col(f"{s}0") - config.margin).alias("from"), (F.col(f"{s}1") + config.margin).alias("to")) for i, s in enumerate("ab")]
-    wanted = linked.select(F.explode(F.array(*sides)).alias("w")).select("w.*")
-    cut = stage.write(_cut_out(base, wanted, config), f"words{name}")
-    x = cut.where("side = 0").select("chain", F.col("at").alias("xa"), F.col("words").alias("x"))
-    y = cut.where("side = 1").select("chain", F.col("at").alias("ya"), F.col("words").alias("y"))
-    both = linked.join(x, "chain").join(y, "chain").select("b", "a", "b0", "b1", "a0", "a1", "score", "anchors", "xa", "x", "ya", "y")
+def _aligned(base: DataFrame, linked: DataFrame, config: ChainConfig) -> DataFrame:
+    """The passages that chains extend to.
+
+    The words of b around each chain go to the document a, where they are aligned. An a that very many chains lead
+    to is a skewed key of a plain join, which adaptive execution splits.
+    """
+    fields = ["a", "b0", "b1", "a0", "a1", "score", "anchors"]
+    cut_names = [*fields, "b", "at", "words"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, flat = batch.column("chains"), batch.column("chains").flatten()
+            columns = {f: np.asarray(flat.field(f)) for f in fields}
+            ends = np.cumsum(np.asarray(lists.value_lengths()))
+            words = word_hashes(as_bytes(batch.column("text")))
+            doc = np.repeat(np.asarray(batch.column("b")), np.diff(ends, prepend=0))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
+            low = np.maximum(0, columns["b0"].astype(np.int64) - config.margin)
+            high = columns["b1"].astype(np.int64) + config.margin
+            for x, y in slices((4 * (high - low)).tolist(), 1 << 20):
+                parts = [words[r][i:j].astype("<u4").tobytes() for r, i, j in zip(row[x:y].tolist(), low[x:y].tolist(), high[x:y].tolist())]
+                out = [flat.field(f).slice(x, y - x) for f in fields] + [int64(doc[x:y]), pa.array(low[x:y].astype(np.int32)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, cut_names)
+
+    cut_out = base.join(linked, base.doc == linked.b).select("b", "text", "chains").mapInArrow(cut, f"{CHAIN}, b long, at int, words binary")
+    both = cut_out.join(base.select(F.col("doc").alias("a"), "text"), "a").select(*cut_names, "text")
     names = ["doc_id", "start", "end", "rep_id", "rep_start", "rep_end", "score", "anchors", "identity"]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, x = None, np.zeros(0, "<u4")  # rows come by a
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                x, y = np.frombuffer(r["x"], "<u4"), np.frombuffer(r["y"], "<u4")
-                a0, a1, b0, b1 = r["a0"] - r["xa"], r["a1"] - r["xa"], r["b0"] - r["ya"], r["b1"] - r["ya"]
-                left, right = extended(x[:a0][::-1], y[:b0][::-1]), extended(x[a1:], y[b1:])
+            texts, words = batch.column("text").cast(pa.binary()), batch.column("words")
+            numbers = (batch.column(c).to_pylist() for c in ("a", "b", "b0", "b1", "a0", "a1", "score", "anchors", "at"))
+            for i, (a, b, b0, b1, a0, a1, score, anchors, at) in enumerate(zip(*numbers)):
+                if a != known:
+                    known, x = a, word_hashes([texts[i].as_py()])[0].astype("<u4")
+                y = np.frombuffer(words[i].as_py(), "<u4")
+                b0, b1 = b0 - at, b1 - at
+                before, after = x[max(0, a0 - config.margin) : a0], x[a1 : a1 + config.margin]
+                left, right = extended(before[::-1], y[:b0][::-1]), extended(after, y[b1:])
                 for a0, b0, a1, b1 in ((a0 - left[0], b0 - left[1], a1 + right[0], b1 + right[1]), (a0, b0, a1, b1)):  # else as it was
                     if min(a1 - a0, b1 - b0) < config.min_words:
                         break
                     same = common_words(x[a0:a1], y[b0:b1]) / max(a1 - a0, b1 - b0)
                     if same >= config.identity:
-                        out.append((r["b"], b0 + r["ya"], b1 + r["ya"], r["a"], a0 + r["xa"], a1 + r["xa"], r["score"], r["anchors"], same))
+                        out.append((b, b0 + at, b1 + at, a, a0, a1, score, anchors, same))
                         break
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64()]
