@@ -153,11 +153,44 @@ def matches(found: DataFrame, hot: DataFrame) -> DataFrame:
     which is a row itself. found is read several times and should be a written table."""
     rows = found.where("doc is not null")
     plain = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "seed", "left")
-    firsts = marked.where("hot").groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.min_by("pos", F.when(F.col("pos") >= 0, F.col("doc"))).alias("pa"))
-    # at most MOST rows
-    spread = rows.join(F.broadcast(firsts), "seed", "left").where("n > 1").select(F.col("doc").alias("b"), "a", plain.alias("pb"), "pa", "run")
-    return _stars(marked.where("hot is null").select("seed", "doc", plain.alias("pos"), "run")).unionByName(spread)
+    usual = rows.join(F.broadcast(hot), "seed", "left_anti").select("seed", "doc", plain.alias("pos"), "run")
+    return _stars(usual).unionByName(_spread(rows, hot))
+
+
+def _spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The matches of hot seeds, whose places stay where they are: first places of each batch, then of all."""
+    context = rows.sparkSession.sparkContext
+    seeds_ = context.broadcast(np.sort(np.asarray(hot.toArrow().column("seed").combine_chunks(), np.int64)))  # at most MOST
+
+    def hot_of(batch: pa.RecordBatch, sorted_: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which rows are hot, where their seeds stand among the sorted ones, doc and pos."""
+        seed = np.asarray(batch.column("seed"))
+        at = np.minimum(np.searchsorted(sorted_, seed), max(0, len(sorted_) - 1))
+        which = np.flatnonzero(sorted_[at] == seed) if len(sorted_) else np.zeros(0, np.int64)
+        pos = np.asarray(batch.column("pos"))[which]
+        return which, at[which], np.asarray(batch.column("doc"))[which], np.where(pos < 0, ~pos, pos)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, at, doc, pos = hot_of(batch, seeds_.value)
+            if len(which):
+                order = np.lexsort([pos, doc, at])
+                first = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])]
+                yield pa.RecordBatch.from_arrays([int64(seeds_.value[at[first]]), int64(doc[first]), pa.array(pos[first].astype(np.int32))], ["seed", "doc", "pos"])
+
+    firsts = rows.select("seed", "doc", "pos").mapInArrow(local, "seed long, doc long, pos int").groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("f"))
+    table = firsts.select("seed", "f.doc", "f.pos").toArrow().sort_by("seed")
+    known = context.broadcast(tuple(np.asarray(table.column(c).combine_chunks()) for c in ("seed", "doc", "pos")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sorted_, a, pa_ = known.value
+            which, at, doc, pos = hot_of(batch, sorted_)
+            if len(which):
+                run = batch.column("run").take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([int64(doc), int64(a[at]), pa.array(pos.astype(np.int32)), pa.array(pa_[at].astype(np.int32)), run], ["b", "a", "pb", "pa", "run"])
+
+    return rows.select("seed", "doc", "pos", "run").mapInArrow(spread, "b long, a long, pb int, pa int, run long")
 
 
 def _stars(found: DataFrame) -> DataFrame:
