@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +38,68 @@ _HYPHEN, _WORD = re.compile(r"[A-Za-zА-Яа-яЁё]{2,}-\s*$"), re.compile(r"[A
 _SPACES = re.compile("[ \t ]{2,}")
 
 
-#: Longest repeated phrase in characters.
-PHRASE_CHARS = 400
+#: Phrases up to so many characters are found by comparing both sides of every space; longer ones by their first
+#: ANCHOR characters. Cells of the first comparison at a time.
+NEAR, ANCHOR, CELLS = 400, 64, 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Line:
+    """A line's characters with prefix hashes."""
+
+    def __init__(self, line: str):
+        self.codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.blank = np.isin(self.codes, [ord(c) for c in set(line) if c.isspace()])
+        self.runs = np.concatenate([[0], np.cumsum(self.blank[1:] & ~self.blank[:-1])])  # runs of white space so far
+        self.spaces = np.flatnonzero(self.codes == 32)
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.codes), _STEP)]), dtype=np.uint64)
+        self.total = np.concatenate([[np.uint64(0)], np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * self.powers[:-1], dtype=np.uint64)])
+
+    def checked(self, i: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, words, -length) of those phrases (start, length) that one space and the phrase again follow."""
+        ok = (i >= 0) & (i + 2 * n + 1 <= len(self.codes))
+        i, n = i[ok], n[ok]
+        j = i + n
+        same = ((self.total[j] - self.total[i]) * self.powers[n + 1] == self.total[j + 1 + n] - self.total[j + 1]) & ~self.blank[i] & ~self.blank[j - 1]
+        i, n = i[same], n[same]
+        words = self.runs[i + n - 1] - self.runs[i]
+        return [(int(p), int(w), -int(k)) for p, w, k in zip(i, words, n) if w > 0]
+
+    def near(self) -> list[tuple[int, int, int]]:
+        codes, most = self.codes, min(NEAR, len(self.codes) // 2)
+        ahead = np.concatenate([codes, np.zeros(most + 2, np.uint32)])
+        behind = np.concatenate([np.full(most, 1 << 31, np.uint32), codes])  # no text has this code
+        length = np.arange(3, most + 1)
+        step, found = max(1, CELLS // max(1, most)), []
+        for a in range(0, len(self.spaces), step):
+            j = self.spaces[a : a + step]
+            grid = behind[(j[:, None] - length[None, :]) + most] == codes[np.minimum(j + 1, len(codes) - 1)][:, None]
+            grid &= ahead[j[:, None] + length[None, :]] == codes[np.maximum(j - 1, 0)][:, None]
+            x, y = np.nonzero(grid)  # both ends alike; the rest is compared by hash
+            found += self.checked(j[x] - length[y], length[y])
+        return found
+
+    def far(self, known: np.ndarray) -> list[tuple[int, int, int]]:
+        """Phrases longer than NEAR that start where no shorter one does (known: where one does)."""
+        size = len(self.codes)
+        if size < 2 * NEAR + 3:
+            return []
+        at = np.arange(size - ANCHOR + 1)
+        key = (self.total[at + ANCHOR] - self.total[at]) * self.powers[size - at]
+        begin = at[~known[at] & ~self.blank[at]]
+        begin = begin[np.argsort(key[begin], kind="stable")]
+        again = self.spaces[(self.spaces > NEAR) & (self.spaces + 1 + ANCHOR <= size)] + 1
+        low, high = np.searchsorted(key[begin], key[again]), np.searchsorted(key[begin], key[again], "right")
+        found = []
+        for a in range(0, len(again), 256):  # a place's earlier likes come to some few
+            n = (high - low)[a : a + 256]
+            q = np.repeat(again[a : a + 256], n)
+            i = begin[np.arange(n.sum()) + np.repeat(low[a : a + 256] - np.cumsum(n) + n, n)]
+            longer = q - i - 1 > NEAR
+            found += self.checked(i[longer], (q - i - 1)[longer])
+        return found
+
+
 def _repeats(line: str) -> list[tuple[int, int]]:
     """(start, length) of phrases that are followed by one space and themselves, leftmost first; at one start
     that of fewest words, then the longest. Spans don't overlap.
@@ -49,33 +107,13 @@ def _repeats(line: str) -> list[tuple[int, int]]:
     Prefix hashes compare the two sides of every space for all lengths at once, where a backtracking pattern
     would take quadratic time.
     """
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blanks = {c for c in set(line) if c.isspace()}
-    blank = np.isin(codes, [ord(c) for c in blanks])
-    starts = np.concatenate([[0], np.cumsum(blank[1:] & ~blank[:-1])])  # runs of white space so far
-    spaces = np.flatnonzero(codes == 32)
-    if not len(spaces):
+    x = _Line(line)
+    if not len(x.spaces):
         return []
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), _STEP)]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
-    found = []
-    most = min(PHRASE_CHARS, len(codes) // 2)
-    ahead = np.concatenate([codes, np.zeros(most + 2, np.uint32)])
-    behind = np.concatenate([np.full(most, 1 << 31, np.uint32), codes])  # no text has this code
-    length = np.arange(3, most + 1)
-    for a in range(0, len(spaces), 512):
-        j = spaces[a : a + 512]
-        grid = behind[(j[:, None] - length[None, :]) + most] == codes[np.minimum(j + 1, len(codes) - 1)][:, None]
-        grid &= ahead[j[:, None] + length[None, :]] == codes[np.maximum(j - 1, 0)][:, None]
-        x, y = np.nonzero(grid)  # both ends alike; the rest is compared by hash
-        j, n = j[x], length[y]
-        i, end = j - n, j + 1 + n
-        ok = (i >= 0) & (end <= len(codes))
-        i, j, n, end = i[ok], j[ok], n[ok], end[ok]
-        same = ((total[j] - total[i]) * powers[n + 1] == total[end] - total[j + 1]) & ~blank[i] & ~blank[j - 1]
-        first, n = i[same], n[same]
-        words = starts[first + n - 1] - starts[first]
-        found += [(int(p), int(w), -int(k)) for p, w, k in zip(first, words, n) if w > 0]
+    found = x.near()
+    known = np.zeros(len(x.codes), bool)
+    known[[p for p, _, _ in found]] = True
+    found += x.far(known)
     out, at = [], 0
     for p, _, k in sorted(found):
         if p >= at and line[p : p - k] == line[p - k + 1 : p - 2 * k + 1]:
@@ -85,10 +123,7 @@ def _repeats(line: str) -> list[tuple[int, int]]:
 
 
 def collapse_phrase(line: str) -> str:
-    """Repeats of phrases of two or more words, next to each other, once; to a fixpoint.
-
-    Phrases longer than PHRASE_CHARS stay.
-    """
+    """Repeats of phrases of two or more words, next to each other, once; to a fixpoint."""
     while found := _repeats(line):
         parts, at = [], 0
         for p, n in found:
@@ -195,6 +230,18 @@ def clean_text(text: Column | str, boilerplate: Column | str, config: CleanConfi
     return run(text, boilerplate)
 
 
+def clean_text_by(text: Column | str, group: Column | str, shared: Broadcast, config: CleanConfig = CleanConfig()) -> Column:
+    """The same with the lines to drop broadcast, by group."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
+        cleaners = {k: LineCleaner(v, config) for k, v in shared.value.items()}
+        other = LineCleaner(frozenset(), config)
+        return pd.Series([None if text is None else cleaners.get(k, other).clean(text) for text, k in zip(texts, names)], dtype=object)
+
+    return run(text, group)
+
+
 @F.pandas_udf(T.StringType())
 def collapse_phrases(lines: pd.Series) -> pd.Series:
     return lines.map(lambda t: None if t is None else collapse_phrase(t))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Question vectors that are sent to the executors at once; more are scored block after block.
 QUERY_BLOCK = 4096
+#: Questions that are scored against a batch of vectors at once; bounds the scores that a task holds.
+TILE = 128
 
 
 def top_k(scored: DataFrame, k: int, by: list[Column] | None = None, id_: str = "id") -> DataFrame:
@@ -23,6 +25,25 @@ def top_k(scored: DataFrame, k: int, by: list[Column] | None = None, id_: str =
     return ranked.where(F.col("rank") <= k)
 
 
+def _best(q: pd.DataFrame, batch: pd.DataFrame, v: np.ndarray, k: int, metric: str, same: bool) -> pd.DataFrame:
+    """The k best vectors of a batch for each question."""
+    qid, qv = q.qid.to_numpy(), np.stack(q.embedding.to_numpy()).astype(np.float64)
+    dots = qv @ v.T
+    if metric == "cosine":
+        norm = np.sqrt((qv * qv).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+        s = np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
+    else:
+        s = -np.sqrt(np.maximum((qv * qv).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * dots, 0))
+    ids = batch.id.to_numpy()
+    s[qid[:, None] == ids[None, :]] = -np.inf
+    if same:
+        s[q.tag.to_numpy()[:, None] != batch.tag.to_numpy()[None, :]] = -np.inf
+    best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+    picked = np.take_along_axis(s, best, axis=1)
+    keep = np.isfinite(picked)
+    return pd.DataFrame({"qid": np.repeat(qid, best.shape[1])[keep.ravel()], "id": ids[best][keep], "score": picked[keep]})
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", same: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top k of vectors (id, embedding[, tag]) for queries (qid, embedding[, tag]).
 
@@ -44,29 +65,15 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
         shared = spark.sparkContext.broadcast(rows)
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q = shared.value
-            if not len(q):
+            whole = shared.value
+            if not len(whole):
                 return
-            qid, qv = q.qid.to_numpy(), np.stack(q.embedding.to_numpy()).astype(np.float64)
-            qn = np.sqrt((qv * qv).sum(axis=1))
+            tiles = [whole.iloc[a : a + TILE] for a in range(0, len(whole), TILE)]
             for batch in batches:
-                if not len(batch):
-                    continue
-                v = np.stack(batch.embedding.to_numpy()).astype(np.float64)
-                dots = qv @ v.T
-                if metric == "cosine":
-                    norm = qn[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
-                    s = np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
-                else:
-                    s = -np.sqrt(np.maximum(((qv[:, None, :] - v[None, :, :]) ** 2).sum(axis=2) if len(qv) * v.size < 5e7 else (qn**2)[:, None] + (v * v).sum(axis=1) - 2 * dots, 0))
-                ids = batch.id.to_numpy()
-                s[qid[:, None] == ids[None, :]] = -np.inf
-                if same:
-                    s[q.tag.to_numpy()[:, None] != batch.tag.to_numpy()[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                picked = np.take_along_axis(s, best, axis=1)
-                keep = np.isfinite(picked)
-                yield pd.DataFrame({"qid": np.repeat(qid, best.shape[1])[keep.ravel()], "id": ids[best][keep], "score": picked[keep]})
+                if len(batch):
+                    v = np.stack(batch.embedding.to_numpy()).astype(np.float64)
+                    for q in tiles:
+                        yield _best(q, batch, v, k, metric, same)
 
         scored = vectors.mapInPandas(score, "qid long, id long, score double")
         ranked = top_k(scored, k)
@@ -143,6 +150,7 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, k: int, alpha: float) -
 
 def context(ranked: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
     """(qid, context): the ranked passages as numbered blocks with their title and score, parted by a blank line."""
+    # fixed values: the labels of a prompt's blocks
     block = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] Игра: "), F.coalesce(F.col(title), F.lit("")), F.lit("\nРелевантность: "), F.format_string("%.3f", "score"), F.lit("\n---\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n")
     )

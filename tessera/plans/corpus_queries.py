@@ -64,7 +64,7 @@ def vocab_ttr(read):
     per_word = read("documents").select("lang", F.explode(tokens).alias("tok")).groupBy("lang", "tok").agg(F.count("*").alias("n"))
     docs = read("documents").where(F.size(tokens) > 0).groupBy("lang").agg(F.count_distinct("doc_id").alias("docs"))
     words = per_word.groupBy("lang").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
-    return words.join(docs, F.coalesce(words.lang, F.lit("")) == F.coalesce(docs.lang, F.lit("")), "left").select(words.lang, "docs", "tokens", "types", F.round(F.col("types") / F.col("tokens"), 6).alias("ttr"))
+    return words.join(docs, words.lang.eqNullSafe(docs.lang), "left").select(words.lang, "docs", "tokens", "types", F.round(F.col("types") / F.col("tokens"), 6).alias("ttr"))
 
 
 #: Stop words of the n-gram report.

@@ -57,6 +57,38 @@ def test_collapse_phrase():
     assert u.collapse_phrase("one two one two one two") == "one two"
 
 
+def test_collapse_long_phrase(monkeypatch):
+    phrase = " ".join(f"word{i}" for i in range(60))
+    assert len(phrase) > 400 and u.collapse_phrase(f"x {phrase} {phrase} y") == f"x {phrase} y"
+    assert u.collapse_phrase(f"{phrase} {phrase} {phrase}") == phrase
+    rx = re.compile(p.REPEATED_PHRASE)
+    rng = random.Random(5)
+    monkeypatch.setattr(u, "NEAR", 4)
+    monkeypatch.setattr(u, "ANCHOR", 3)
+    for _ in range(3000):
+        line = "".join(rng.choice("ab  c") for _ in range(rng.randrange(60)))
+        before, want = None, line
+        while before != want:
+            before, want = want, rx.sub(r"\1", want)
+        assert u.collapse_phrase(line) == want, repr(line)
+
+
+def test_breaks_before_headers(spark):
+    lines = ["text", "PHASE 1 begins", "", "Setup:", "more", "  Глава 2 ", "end"]
+    got = values(spark, corpus.break_before_headers("text"), ["\n".join(lines), "Setup", ""])
+    assert got == ["text\n\nPHASE 1 begins\n\nSetup:\nmore\n\n  Глава 2 \nend\n", "Setup\n", "\n"]
+    rows = [(i, f"Common footer line\n{'some words of text ' * 20}\nPHASE {i}\n{'other words of text ' * 20}{i}", "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = u.CleanConfig(boilerplate_min=3)
+    one = sorted(map(tuple, corpus.clean_report(docs, config).collect()))
+    assert all("Common footer" not in r[3] and "\n\nPHASE" in r[3] for r in one)
+    before, corpus.BOILERPLATE = corpus.BOILERPLATE, 0
+    try:
+        assert sorted(map(tuple, corpus.clean_report(docs, config).collect())) == one
+    finally:
+        corpus.BOILERPLATE = before
+
+
 def test_cleaner():
     text = "Page 3\n-----\n12\nSome words of the rules are bro-\nken here\nand go on.\n\nCREDITS\nAnn\nBob\n\nSETUP:\n• one item\n• one item\nA\nall rights reserved by nobody at all, a line of rights only\nlast line"
     assert u.LineCleaner().clean(text) == "Some words of the rules are broken here and go on.\n\nSETUP:\n• one item\nlast line\n"
