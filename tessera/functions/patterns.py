@@ -33,6 +33,8 @@ REPEATED_PHRASE = r"(\S+(?:\s+\S+)+?) \1"
 #: Words with hyphens, section numbers, numbers and ranges.
 CORPUS_TOKEN = r"[A-Za-zА-Яа-яЁё]+(?:-[A-Za-zА-Яа-яЁё]+)*|\d+(?:\.\d+){1,6}|\d+(?:[.,]\d+)?(?:[–-]\d+(?:[.,]\d+)?)?"
 SENTENCE_END = r"(?<!\d)[.!?]+(?!\d)(?=(?:\s|$))"
+#: Words of advice, which a question about rules doesn't hold.
+FORBIDDEN = r"\b(лучше|выгодн\w*|стоит\s+ли|оптимальн\w*|тактик\w*|стратег\w*)\b"
 BARE_NUMERIC = r"^\s*[\d\s\-,\.]+\s*$"
 SCORE_TOKEN = r"[0-9]+|[a-zа-яё]+"
 

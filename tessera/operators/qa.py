@@ -48,6 +48,7 @@ def validate(df: DataFrame, letters: str = r"[Ѐ-ӿ]", least: float = 0.3) -> Da
         .when(F.size("ground_truths") < 1, "no_truth")
         .when(~title_in_question(F.col("question"), F.col("title")), "no_title")
         .when(script_share(F.col("question"), letters) < least, "language")
+        .when(F.col("question").rlike(p.java(p.FORBIDDEN)), "forbidden_words")
         .when(numeric, "bare_number")
         .when(~F.contains(norm("context"), norm("quote")) | (norm("quote") == ""), "quote_not_in_context")
         .otherwise("ok")

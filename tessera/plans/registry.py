@@ -32,4 +32,4 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-from . import corpus_queries, retrieval_queries, table_queries  # noqa: E402, F401
+from . import corpus_queries, report_queries, retrieval_queries, table_queries  # noqa: E402, F401
