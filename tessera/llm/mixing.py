@@ -19,9 +19,10 @@ touch the rows.
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -139,10 +140,15 @@ def _scheduled(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, int]:
     period = max(config.period, 4 * len(sizes))
     blocks = {c: -(-n // config.block) for c, n in sizes.items()}
     phases, slots = plan(blocks, weights, period)
-    named = spark.createDataFrame(members, "component int, named string, n long").drop("n")
-    phase_table = spark.createDataFrame(phases, "component int, phase int, first long, blocks long, start long, share int")
-    phase_table = phase_table.groupBy("component").agg(F.collect_list(F.struct("first", "blocks", "phase", "start", "share")).alias("phases"))
-    slot_table = spark.createDataFrame(slots, "component int, phase int, j long, at long")
+    named = _local(spark, [{"component": i, "named": s} for i, s, _ in members], "component int, named string")
+    fields = "first", "blocks", "start", "share"
+    at: dict[tuple[int, int], list[int]] = {}
+    for c, phase, _, slot in slots:  # in the order of a component's blocks
+        at.setdefault((c, phase), []).append(slot)
+    rows = [{"component": c, "phase": phase, **dict(zip(fields, x)), "slots": at[c, phase]} for c, phase, *x in phases]
+    table = _local(spark, rows, "component int, phase int, first bigint, blocks bigint, start bigint, share int, slots array<bigint>")
+    phase_table = table.groupBy("component").agg(F.collect_list(F.struct("first", "blocks", "phase", "start", "share")).alias("phases"))
+    slot_table = table.select("component", "phase", F.posexplode("slots").alias("j", "at"))
 
     # a row travels as one struct, so that no column of docs meets a name used here
     tie = F.xxhash64("text") if "text" in names else F.lit(0).cast("long")
@@ -169,6 +175,12 @@ def _scheduled(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, int]:
     return out, sum(blocks.values()) * config.block
 
 
+def _local(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A small table from the driver, which the JVM reads by itself."""
+    kind = ", ".join(f"{n}: {t}" for n, t in (f.split(" ") for f in fields.split(", ")))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
 def _div(a: Column, b: Column) -> Column:
     """Whole-number division of non-negative longs."""
     return ((a - a % b) / b).cast("long")
