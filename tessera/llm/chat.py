@@ -1,9 +1,10 @@
 """Chat formatting of reply trees.
 
 Messages form trees: each names the message that it answers. Every path from a root to a leaf is one
-conversation. Paths are enumerated by iterative self-joins: each message holds the run of its ancestors
-found so far, and joining that run with the one of its oldest member doubles it, so that a tree of depth d
-takes about log2(d) rounds. The paths of a tree are ranked by the sum of their messages' scores.
+conversation. Paths are enumerated by iterative self-joins over jumps: each message's parent, then the parent's
+parent, then the ancestor four messages up, and so on, so that a tree of depth d takes about log2(d) rounds and as
+many rows a message. Leaves climb by the longest jumps first, which gives depths and the sums of scores that rank
+the paths of a tree; the messages of the chosen paths are reached by every sum of jumps once.
 
 Template. A conversation is the concatenation of its turns, each
 
@@ -80,26 +81,37 @@ def reply_paths(messages: DataFrame, stage: Stage, best: int | None = None) -> D
     """tree, path (0 is the best ranked), place (0 is the root), msg for every root-to-leaf path.
 
     messages has tree, msg (unique within its tree), parent and score; the parent must have a smaller msg,
-    otherwise, or if it is missing, the message is a root. Ties between paths go to the smaller leaf.
+    otherwise, or if it is missing, the message is a root; a null score counts 0. Sums of scores count to nine
+    places; ties between paths go to the smaller leaf. An empty table has no paths.
     """
     known = messages.select("tree", "msg", F.when(F.col("parent") < F.col("msg"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
     there = known.select("tree", F.col("msg").alias("parent"), F.lit(True).alias("there"))
     linked = known.join(there, ["tree", "parent"], "left").select("tree", "msg", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
-    # run: ancestors from the message upwards; next: the ancestor after them, null at the root
-    runs = stage.write(linked.select("tree", "msg", F.array("msg").alias("run"), F.col("score").alias("total"), F.col("parent").alias("next")), "runs-0")
-    leaves = linked.join(linked.where("parent is not null").select("tree", F.col("parent").alias("msg")).distinct(), ["tree", "msg"], "left_anti").select("tree", "msg")
-    done, level = runs.where("next is null"), 0
-    while not (active := runs.where("next is not null")).isEmpty():
-        whole = done.unionByName(active)  # runs that reach their roots rest; the others double
-        upper = whole.select("tree", F.col("msg").alias("next"), F.col("run").alias("more"), F.col("total").alias("plus"), F.col("next").alias("then"))
-        joined = active.join(upper, ["tree", "next"])
-        level += 1
-        runs = stage.write(joined.select("tree", "msg", F.concat("run", "more").alias("run"), (F.col("total") + F.col("plus")).alias("total"), F.col("then").alias("next")), f"runs-{level}")
-        done = done.unionByName(runs.where("next is null"))
-    ranked = done.join(leaves, ["tree", "msg"], "left_semi").withColumn("path", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "msg")) - 1)
+    linked = stage.write(linked, "linked")
+    # jump: from a message to one 2**level messages up; total: the scores on the way, the upper end's left out
+    jump = stage.write(linked.where("parent is not null").select("tree", "msg", F.col("parent").alias("up"), F.col("score").alias("total")), "jumps-0")
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        upper = jump.select("tree", F.col("msg").alias("up"), F.col("up").alias("then"), F.col("total").alias("plus"))
+        longer = jump.join(upper, ["tree", "up"]).select("tree", "msg", F.col("then").alias("up"), (F.col("total") + F.col("plus")).alias("total"))
+        jump = stage.write(longer, f"jumps-{len(jumps)}")
+    parents = linked.where("parent is not null").select("tree", F.col("parent").alias("msg")).distinct()
+    climbing = linked.join(parents, ["tree", "msg"], "left_anti").select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0.0).alias("total"), F.lit(0).alias("depth"))
+    for k in reversed(range(len(jumps))):
+        step = jumps[k].select("tree", "msg", "up", F.col("total").alias("plus"))
+        climbing = climbing.join(step, ["tree", "msg"], "left").select(
+            "tree", "leaf", F.coalesce("up", "msg").alias("msg"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"), (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("depth")
+        )
+    whole = climbing.join(linked.select("tree", "msg", "score"), ["tree", "msg"]).withColumn("total", F.col("total") + F.col("score"))
+    ranked = whole.withColumn("path", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.round("total", 9)), "leaf")) - 1)
     if best is not None:
         ranked = ranked.where(F.col("path") < best)
-    return ranked.select("tree", "path", F.posexplode(F.reverse("run")).alias("place", "msg"))
+    rows = stage.write(ranked.select("tree", "path", F.col("depth").alias("place"), F.col("leaf").alias("msg")), "paths")
+    for k in reversed(range(len(jumps))):
+        more = rows.join(jumps[k].select("tree", "msg", "up"), ["tree", "msg"]).select("tree", "path", (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("msg"))
+        rows = stage.write(rows.unionByName(more), f"paths-{k}")
+    return rows
 
 
 def _format(rows: DataFrame, config: ChatConfig) -> DataFrame:
@@ -156,7 +168,12 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def conversations_digest(conversations: DataFrame, stage: Stage) -> DataFrame:
-    """All conversations and conversation -1, which holds the template's own control strings."""
+    """All conversations and conversation -1, which holds the template's own control strings, as ``digest`` gives them.
+
+    Null roles and texts read as empty, texts of any length are formatted whole, rows that repeat are turns of their
+    own, and rows with one turn go by role and text. Rows without conv_id make up one conversation, without an id. An
+    empty table gives conversation -1 only. Columns other than conv_id, turn, role and text are left out.
+    """
     spark = conversations.sparkSession
     control = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")

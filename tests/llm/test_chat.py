@@ -54,3 +54,12 @@ def test_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLE_SQL["op5_chat"]).fetchall())
+
+
+def test_long_conversation(spark):
+    """Storage grows with the turns: no message holds its ancestors."""
+    n = 3000
+    rows = spark.range(n).selectExpr("7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "cast(id as string) text")
+    got = {r.conv_id: r for r in chat.conversations_digest(rows, Stage(spark, "long")).collect()}
+    whole = "".join(f"{'assistant' if i % 2 else 'user'}\n{i}\n" for i in range(n))
+    assert got[7].n_turns == n and got[7].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest() and set(got) == {-1, 7}
