@@ -179,7 +179,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, config: QualityConfig) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> QualityModel:
-    """Turns the bounded sample into features on the executors and fits on the driver."""
+    """Turns the bounded sample into features on the executors and fits in one task; only the model reaches the driver."""
     small_batches(docs.sparkSession)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +191,19 @@ def train(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityCon
                 [batch.column("doc_id"), batch.column("quality"), pa.array(data, pa.binary())], ["doc_id", "quality", "found"]
             )
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(d, x, q) for batch in batches for d, x, q in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "found", "quality")))]
+        held.sort(key=lambda r: r[:2])
+        model = fit([np.frombuffer(x, "<i4") for _, x, _ in held], np.array([q for _, _, q in held], int), config)
+        numbers = pa.array([[model.bias, model.slope, model.shift]], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f8").tobytes()], pa.binary()), numbers], ["weights", "numbers"])
+
     sample = training_rows(docs, labels, config).select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "text")
-    got = sample.repartition(8).mapInArrow(featurise, "doc_id string, quality int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
-    rows = [np.frombuffer(x, "<i4") for x in got.column("found").to_pylist()]
-    return fit(rows, np.array(got.column("quality").to_pylist(), int), config)
+    rows = sample.repartition(8).mapInArrow(featurise, "doc_id string, quality int, found binary")
+    got = rows.repartition(1).mapInArrow(fitted, "weights binary, numbers array<double>").first()  # at most 2 * max_train rows
+    if got is None:  # no rows to train on
+        return fit([], np.zeros(0, int), config)
+    return QualityModel(np.frombuffer(bytes(got["weights"]), "<f8"), *got["numbers"])
 
 
 def score(docs: DataFrame, model: QualityModel, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -223,7 +232,12 @@ def score(docs: DataFrame, model: QualityModel, config: QualityConfig = QualityC
 
 
 def classify(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document; rows that repeat, and those without doc_id, one by one.
+
+    Null and empty texts get the score of the model's bias, texts of any length are read whole. A doc_id with several
+    rows of labels is trained on once for each. Without labels of both classes the score is the share of label 1. An
+    empty table gives no rows; other columns of docs, whatever their names, are left out.
+    """
     model = train(docs, labels, config)
     # only the id and the text go through Python
     scored = score(docs.select("doc_id", "text"), model, config)
