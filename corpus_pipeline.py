@@ -20,29 +20,41 @@ ORACLE_SQL = None
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on these documents' labels, doesn't reject."""
+    """Documents that the quality classifier, trained on these documents' labels, doesn't reject.
+
+    Null and empty texts go by the bias alone; repeated rows stay or go together; an empty table stays empty.
+    """
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return quality.score(docs, model).where("predicted = 1").select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingle sets are 0.8 or more alike."""
+    """One document of each group whose five-word shingle sets are 0.8 or more alike: that with the smallest doc_id.
+
+    Documents without words are one group; rows that share doc_id and text count once; a null doc_id comes last.
+    """
     return simhash.keep_one(docs, stage=Stage(spark, "pipeline-similar"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the benchmark's passages; those mostly made of them go."""
+    """Documents without the benchmark's passages; those mostly made of them go. Null and empty texts have none."""
     return decontaminate.remove_spans(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture of their sources; the order is that of files and rows."""
+    """All documents in the order of the mixture of their sources; the order is that of files and rows.
+
+    A null source is a source; rows that share a doc_id are placed one by one.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the order of the mixture: doc_id, start, n_tokens and ids_crc32 as read back from them."""
+    """Token files in the order of the mixture: doc_id, start, n_tokens and ids_crc32 as read back from them.
+
+    A null text is empty; rows that repeat a doc_id are documents of their own.
+    """
     config = token_output.TokenConfig(public_tokenizers.path("word_bpe_49k.json"))
     blocks, ranks = token_output.write_tokens(_in_file_order(docs), config, Stage(spark, "pipeline-tokens"), order="file_order")
     return token_output.token_digest(blocks, ranks)
