@@ -5,8 +5,8 @@
 2. Matches. Equal seeds meet by a shuffle on their hash. The first place (smallest doc_id, then position)
    stands for the seed and every other document's place is matched with it: a seed that very many documents
    share gives one match for each of them, and no task needs to hold them together. Seeds of a share of all
-   documents (``hot``) that makes one task's work stand out don't meet: their first places are an aggregate with
-   map-side combine and go out to all places.
+   documents (``hot``) that makes one task's work stand out are salted over all tasks: their first places are an
+   aggregate with map-side combine and are broadcast.
 3. Runs. Where the seeds of a passage occurred earlier in different documents, the matches with each of them are
    too few. So the run of ``min_words`` words that begins with a seed that occurs again is matched in the same way:
    every equal run of ``min_words + window - 1`` words that an earlier document has too is matched with one.
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ CHUNK = 1 << 16
 @dataclass(frozen=True)
 class ChainConfig:
     """min_words: least words of a passage in both documents. identity: least share of the longer passage that
-    the common subsequence covers. margin: words looked at on either side of a chain. hot: share of documents from which a seed's places stay where they are."""
+    the common subsequence covers. margin: words looked at on either side of a chain. hot: share of documents from which a seed's places are salted."""
 
     k: int = 6
     window: int = 10
@@ -150,80 +151,79 @@ def hot_seeds(found: DataFrame, config: ChainConfig) -> DataFrame:
 
 def matches(found: DataFrame, hot: DataFrame) -> DataFrame:
     """(b, a, pb, pa, run): the places (doc, pos) of each seed that has several, with its first place (a, pa),
-    which is a row itself. found is read several times and should be a written table."""
-    rows = found.where("doc is not null")
-    plain = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    usual = rows.join(F.broadcast(hot), "seed", "left_anti").select("seed", "doc", plain.alias("pos"), "run")
-    return _stars(usual).unionByName(_spread(rows, hot))
-
-
-def _spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """The matches of hot seeds, whose places stay where they are: first places of each batch, then of all."""
-    context = rows.sparkSession.sparkContext
-    seeds_ = context.broadcast(np.sort(np.asarray(hot.toArrow().column("seed").combine_chunks(), np.int64)))  # at most MOST
+    which is a row itself. found is read several times and should be a written table.
 
-    def hot_of(batch: pa.RecordBatch, sorted_: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Which rows are hot, where their seeds stand among the sorted ones, doc and pos."""
-        seed = np.asarray(batch.column("seed"))
-        at = np.minimum(np.searchsorted(sorted_, seed), max(0, len(sorted_) - 1))
-        which = np.flatnonzero(sorted_[at] == seed) if len(sorted_) else np.zeros(0, np.int64)
-        pos = np.asarray(batch.column("pos"))[which]
-        return which, at[which], np.asarray(batch.column("doc"))[which], np.where(pos < 0, ~pos, pos)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            which, at, doc, pos = hot_of(batch, seeds_.value)
-            if len(which):
-                order = np.lexsort([pos, doc, at])
-                first = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])]
-                yield pa.RecordBatch.from_arrays([int64(seeds_.value[at[first]]), int64(doc[first]), pa.array(pos[first].astype(np.int32))], ["seed", "doc", "pos"])
-
-    firsts = rows.select("seed", "doc", "pos").mapInArrow(local, "seed long, doc long, pos int").groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("f"))
-    table = firsts.select("seed", "f.doc", "f.pos").toArrow().sort_by("seed")
-    known = context.broadcast(tuple(np.asarray(table.column(c).combine_chunks()) for c in ("seed", "doc", "pos")))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sorted_, a, pa_ = known.value
-            which, at, doc, pos = hot_of(batch, sorted_)
-            if len(which):
-                run = batch.column("run").take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([int64(doc), int64(a[at]), pa.array(pos.astype(np.int32)), pa.array(pa_[at].astype(np.int32)), run], ["b", "a", "pb", "pa", "run"])
-
-    return rows.select("seed", "doc", "pos", "run").mapInArrow(spread, "b long, a long, pb int, pa int, run long")
-
-
-def _stars(found: DataFrame) -> DataFrame:
-    """The matches of seeds that meet: each is a stream of its places in order."""
+    The places of a seed meet as a stream in order. Those of a hot seed are salted by document over all tasks,
+    which know its first place from a broadcast.
+    """
     spark = found.sparkSession
+    rows = found.where("doc is not null")
+    firsts = _firsts(rows, hot)
     names = ["b", "a", "pb", "pa", "run"]
 
+    def record(doc: np.ndarray, a: np.ndarray, pos: np.ndarray, pa_: np.ndarray, run: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([int64(doc), int64(a), pa.array(pos.astype(np.int32)), pa.array(pa_.astype(np.int32)), run], names)
+
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the seed and first place that the batch before ended with, and whether that row is still to come
+        seeds_, first_doc, first_pos = firsts.value
+        last = None  # the seed and first place that the rows before ended with, and that row if it is still to come
         for batch in batches:
-            if not batch.num_rows:
-                continue
             seed, doc, pos = (np.asarray(batch.column(c)) for c in ("seed", "doc", "pos"))
+            at = _places_in(seeds_, seed)
+            if (known := at >= 0).any():
+                yield record(doc[known], first_doc[at[known]], pos[known], first_pos[at[known]], batch.column("run").filter(pa.array(known)))
+                batch = batch.filter(pa.array(~known))
+                seed, doc, pos = seed[~known], doc[~known], pos[~known]
+            if not len(seed):
+                continue
             new = np.concatenate([[last is None or last[0] != seed[0]], seed[1:] != seed[:-1]])
             start = np.maximum.accumulate(np.where(new, np.arange(len(seed)), -1))
             a, pa_ = np.where(start < 0, last[1] if last else 0, doc[start]), np.where(start < 0, last[2] if last else 0, pos[start])
-            single = new & np.concatenate([new[1:], [False]])  # of the last row it isn't known yet
-            open_ = bool(new[-1])
+            emit = ~(new & np.concatenate([new[1:], [False]]))  # of the last row it isn't known yet whether it is alone
             if last is not None and last[3] is not None and not new[0]:
                 yield last[3]
-            emit = ~single
-            if open_:
-                emit[-1] = False
-            out = [int64(doc[emit]), int64(a[emit]), pa.array(pos[emit].astype(np.int32)), pa.array(pa_[emit].astype(np.int32)), batch.column("run").filter(pa.array(emit))]
-            yield pa.RecordBatch.from_arrays(out, names)
             waiting = None
-            if open_:
-                end = batch.num_rows - 1
-                waiting = pa.RecordBatch.from_arrays([int64(doc[end:]), int64(doc[end:]), pa.array(pos[end:].astype(np.int32)), pa.array(pos[end:].astype(np.int32)), batch.column("run").slice(end)], names)
+            if new[-1]:
+                emit[-1] = False
+                waiting = record(doc[-1:], doc[-1:], pos[-1:], pos[-1:], batch.column("run").slice(len(seed) - 1))
+            yield record(doc[emit], a[emit], pos[emit], pa_[emit], batch.column("run").filter(pa.array(emit)))
             last = (seed[-1], a[-1], pa_[-1], waiting)
 
-    dealt = found.repartition(partitions(spark), "seed").sortWithinPartitions("seed", "doc", "pos")
-    return dealt.mapInArrow(star, "b long, a long, pb int, pa int, run long")
+    n = partitions(spark)
+    plain = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
+    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "seed", "left")  # at most MOST rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(n))).otherwise(0).cast("int")
+    dealt = marked.select("seed", "doc", plain.alias("pos"), "run", salt.alias("salt")).repartition(n, "seed", "salt").sortWithinPartitions("seed", "doc", "pos")
+    return dealt.select("seed", "doc", "pos", "run").mapInArrow(star, "b long, a long, pb int, pa int, run long")
+
+
+def _places_in(sorted_: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Where each seed stands among the sorted ones, or -1."""
+    if not len(sorted_):
+        return np.full(len(seed), -1)
+    at = np.minimum(np.searchsorted(sorted_, seed), len(sorted_) - 1)
+    return np.where(sorted_[at] == seed, at, -1)
+
+
+def _firsts(rows: DataFrame, hot: DataFrame) -> Broadcast:
+    """(seed, doc, pos) of the first place of each hot seed, sorted by seed: of each batch, then of all."""
+    context = rows.sparkSession.sparkContext
+    seeds_ = context.broadcast(np.sort(np.asarray(hot.toArrow().column("seed").combine_chunks(), np.int64)))  # at most MOST
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places_in(seeds_.value, np.asarray(batch.column("seed")))
+            which = np.flatnonzero(at >= 0)
+            if len(which):
+                at, doc, pos = at[which], np.asarray(batch.column("doc"))[which], np.asarray(batch.column("pos"))[which]
+                pos = np.where(pos < 0, ~pos, pos)
+                order = np.lexsort([pos, doc, at])
+                first = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])]
+                yield pa.RecordBatch.from_arrays([int64(seeds_.value[at[first]]), int64(doc[first]), pa.array(pos[first].astype(np.int32))], ["seed", "doc", "pos"])
+
+    least = rows.select("seed", "doc", "pos").mapInArrow(local, "seed long, doc long, pos int").groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("f"))
+    table = least.select("seed", "f.doc", "f.pos").toArrow().sort_by("seed")
+    return context.broadcast(tuple(np.asarray(table.column(c).combine_chunks()) for c in ("seed", "doc", "pos")))
 
 
 class Fenwick:
