@@ -429,7 +429,8 @@ def main_texts(pages: list[str], model: BiLSTM) -> list[str]:
 def extract(pages: DataFrame, model: BiLSTM | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    A null or empty html, or one without article blocks, gives an empty text. Other columns are left out.
+    A null or empty html, or one without article blocks, gives an empty text; pages of any length are read whole,
+    and repeated rows give repeated rows. Other columns are left out. An empty table gives no rows.
     """
     spark = pages.sparkSession
     small_batches(spark)

@@ -274,6 +274,7 @@ def deduplicate(vectors: DataFrame, config: ProjectionConfig = ProjectionConfig(
     Rows without label, or whose vector is null, empty, zero or holds null or non-finite components, link
     with nothing, and so do vectors of different length. Rows with equal vectors and labels are linked.
     A null vec_id is kept and is no component's smallest id unless it is the only one.
+    Other columns are left out. An empty table gives no rows.
     """
     stage = stage or Stage(vectors.sparkSession, "projection")
     vectors = vectors.select("vec_id", "embedding", "label")
