@@ -74,7 +74,19 @@ def op10_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.deduplicate(read_table(spark, sf_dir, "embeddings"), stage=Stage(spark, "op10"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op8_passages, op9_main_text, op10_projection)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_counts
+
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_ALL = (
+    op1_suffix_dedup, op2_mixing, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op8_passages, op9_main_text, op10_projection,
+    op13_token_counts,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": r"""
