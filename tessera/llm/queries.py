@@ -74,6 +74,12 @@ def op10_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.deduplicate(read_table(spark, sf_dir, "embeddings"), stage=Stage(spark, "op10"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"), Stage(spark, "op12"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +90,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_suffix_dedup, op2_mixing, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op8_passages, op9_main_text, op10_projection,
-    op13_token_counts,
+    op12_prefix_trie, op13_token_counts,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -122,6 +128,34 @@ FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1) AS x FROM pages),
 b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(x, '</?(?:p|h1)>'), lambda s: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(s, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') AS blocks FROM a)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM b
+""",
+    "op12_prefix_trie": r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+num AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, count(*) AS n FROM num GROUP BY conv_id),
+crc(conv_id, i, c) AS (
+  SELECT conv_id, 0, 4294967295::BIGINT FROM ids
+  UNION ALL SELECT conv_id, i + 1, xor(c // 256, t[xor(c, ascii((conv_id::VARCHAR)[i + 1])) % 256 + 1]) FROM crc, tab WHERE i < length(conv_id::VARCHAR)),
+h AS (SELECT conv_id, n, xor(c, 4294967295) % 6 AS h FROM crc JOIN ids USING (conv_id) WHERE i = length(conv_id::VARCHAR)),
+parts AS (
+  SELECT h.conv_id, 0 AS part, b.pos, b.x FROM h JOIN num b ON b.conv_id = h.conv_id - h.conv_id % 100 AND b.pos <= h.h
+  UNION ALL SELECT h.conv_id, 1, o.pos, o.x FROM h JOIN num o ON o.conv_id = h.conv_id AND o.pos > h.h),
+whole AS (SELECT h.conv_id, coalesce(list(x ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS w FROM h LEFT JOIN parts USING (conv_id) GROUP BY h.conv_id),
+path AS (SELECT conv_id, len(w) AS total, unnest(range(len(w) + 1)) AS depth, w FROM whole),
+keyed AS (SELECT conv_id, total, depth, sha256(w[1:depth]::VARCHAR) AS k, sha256(w[1:depth - 1]::VARCHAR) AS up, CASE WHEN depth > 0 THEN length(w[depth].text) ELSE 0 END AS chars FROM path),
+node AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256 FROM keyed GROUP BY k, depth),
+kids AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT a.k, a.depth, sum((b.n_convs - 1) * b.chars) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM (SELECT DISTINCT a.k, a.depth, b.k AS bk, b.depth AS bd FROM keyed a JOIN keyed b ON a.conv_id = b.conv_id AND a.depth <= b.depth) p
+  JOIN node a ON a.k = p.k AND a.depth = p.depth JOIN node b ON b.k = p.bk AND b.depth = p.bd LEFT JOIN kids c ON c.up = b.k AND c.depth = b.depth GROUP BY a.k, a.depth)
+SELECT n.conv_id, n.depth::BIGINT AS depth, CASE WHEN n.depth > 0 THEN u.conv_id END AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM node n JOIN below USING (k, depth) LEFT JOIN node u ON u.k = n.up AND u.depth = n.depth - 1 LEFT JOIN kids c ON c.up = n.k AND c.depth = n.depth
 """,
     "op10_projection": r"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
