@@ -74,6 +74,12 @@ def op10_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.deduplicate(read_table(spark, sf_dir, "embeddings"), stage=Stage(spark, "op10"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tiered_index
+
+    return tiered_index.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Stage(spark, "op11"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import prefix_trie
 
@@ -90,7 +96,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_suffix_dedup, op2_mixing, op3_quality, op4_tokens, op5_chat, op6_decontaminate, op7_simhash, op8_passages, op9_main_text, op10_projection,
-    op12_prefix_trie, op13_token_counts,
+    op11_ranked_search, op12_prefix_trie, op13_token_counts,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -128,6 +134,20 @@ FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1) AS x FROM pages),
 b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(x, '</?(?:p|h1)>'), lambda s: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(s, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') AS blocks FROM a)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM b
+""",
+    "op11_ranked_search": r"""
+WITH dt AS (SELECT rowid AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)),
+it AS (SELECT qid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS qid, item_id, text FROM benchmark)),
+tot AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM dt WHERE len(w) > 0),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM dt) GROUP BY ALL),
+lex AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, tot GROUP BY term, n_docs),
+doc AS (SELECT rid, doc_id, 75 + (25 * len(w)::BIGINT * n_docs) // n_words AS m FROM dt, tot),
+post AS (SELECT tf.rid, term, lex.w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS part FROM tf JOIN lex USING (term) JOIN doc USING (rid)),
+s AS (SELECT qid, item_id, rid, sum(part)::BIGINT AS score FROM it JOIN post USING (term) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s JOIN doc USING (rid) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
 """,
     "op12_prefix_trie": r"""
 WITH RECURSIVE bits(i, c, k) AS (
