@@ -25,15 +25,19 @@ def top_k(scored: DataFrame, k: int, by: list[Column] | None = None, id_: str =
     return ranked.where(F.col("rank") <= k)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; zero rows stay. Scaled first, so that squares neither overflow nor vanish."""
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), np.finfo(float).tiny)
+    return x / np.sqrt(np.maximum((x * x).sum(axis=1, keepdims=True), np.finfo(float).tiny))
+
+
 def _best(q: pd.DataFrame, batch: pd.DataFrame, v: np.ndarray, k: int, metric: str, same: bool) -> pd.DataFrame:
     """The k best vectors of a batch for each question."""
     qid, qv = q.qid.to_numpy(), np.stack(q.embedding.to_numpy()).astype(np.float64)
-    dots = qv @ v.T
     if metric == "cosine":
-        norm = np.sqrt((qv * qv).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
-        s = np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
+        s = _unit(qv) @ _unit(v).T
     else:
-        s = -np.sqrt(np.maximum((qv * qv).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * dots, 0))
+        s = -np.sqrt(np.maximum((qv * qv).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * qv @ v.T, 0))
     ids = batch.id.to_numpy()
     s[qid[:, None] == ids[None, :]] = -np.inf
     if same:
@@ -44,17 +48,23 @@ def _best(q: pd.DataFrame, batch: pd.DataFrame, v: np.ndarray, k: int, metric: s
     return pd.DataFrame({"qid": np.repeat(qid, best.shape[1])[keep.ravel()], "id": ids[best][keep], "score": picked[keep]})
 
 
+def searchable(df: DataFrame, id_: str) -> DataFrame:
+    """Rows with an id and a vector of finite components."""
+    return df.where(f"{id_} is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", same: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top k of vectors (id, embedding[, tag]) for queries (qid, embedding[, tag]).
 
     With ``same`` only vectors with the query's tag count, before the ranking. A vector isn't its own answer.
     Queries go out in blocks of a bounded size, each scored by one matrix product per batch of vectors, and
-    every batch keeps its k best. metric: cosine, or l2 (the negated distance). Rows with null vectors are left out.
+    every batch keeps its k best. metric: cosine, or l2 (the negated distance). Rows without id, with null vectors or
+    null or non-finite components are left out; vectors are compared with those of their own length only.
     """
     spark = vectors.sparkSession
     tag = ["tag"] if same else []
-    queries = queries.where("embedding is not null and qid is not null").select("qid", "embedding", *tag)
-    vectors = vectors.where("embedding is not null").select("id", "embedding", *tag)
+    queries = searchable(queries, "qid").select("qid", "embedding", *tag)
+    vectors = searchable(vectors, "id").select("id", "embedding", *tag)
     blocks = -(-queries.count() // block) or 1
     out = None
     for i in range(blocks):
@@ -68,12 +78,12 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
             whole = shared.value
             if not len(whole):
                 return
-            tiles = [whole.iloc[a : a + TILE] for a in range(0, len(whole), TILE)]
+            tiles = {n: [q.iloc[a : a + TILE] for a in range(0, len(q), TILE)] for n, q in whole.groupby(whole.embedding.map(len))}
             for batch in batches:
-                if len(batch):
-                    v = np.stack(batch.embedding.to_numpy()).astype(np.float64)
-                    for q in tiles:
-                        yield _best(q, batch, v, k, metric, same)
+                for n, own in batch.groupby(batch.embedding.map(len)) if len(batch) else ():
+                    v = np.stack(own.embedding.to_numpy()).astype(np.float64)
+                    for q in tiles.get(n, ()):
+                        yield _best(q, own, v, k, metric, same)
 
         scored = vectors.mapInPandas(score, "qid long, id long, score double")
         ranked = top_k(scored, k)
@@ -134,7 +144,8 @@ def rrf(branches: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:
 def weighted_fusion(dense: DataFrame, sparse: DataFrame, k: int, alpha: float) -> DataFrame:
     """alpha * dense + (1 - alpha) * sparse of scores scaled to [0, 1] within each question and branch.
 
-    A branch whose scores are all equal keeps them; a side that lacks an id counts 0.
+    A branch whose scores are all equal keeps them; a side that lacks an id counts 0. Where a question has rows in one
+    branch only, that branch stays what it is, cut to k.
     """
 
     def scaled(branch: DataFrame, name: str) -> DataFrame:
@@ -143,9 +154,13 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, k: int, alpha: float) -
         value = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.col("score"))
         return branch.select("qid", "id", value.alias(name))
 
-    both = scaled(dense, "d").join(scaled(sparse, "s"), ["qid", "id"], "full")
-    fused = both.select("qid", "id", (alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("s", F.lit(0.0))).alias("score"))
-    return top_k(fused, k, [F.desc(F.round("score", 9)), F.col("id")]).select("qid", "rank", "id", "score")
+    raw = lambda branch, name: branch.select("qid", "id", F.col("score").alias(name), F.col("rank").alias(f"{name}_rank"))
+    whole = raw(dense, "rd").join(raw(sparse, "rs"), ["qid", "id"], "full").join(scaled(dense, "d"), ["qid", "id"], "left").join(scaled(sparse, "s"), ["qid", "id"], "left")
+    w = Window.partitionBy("qid")
+    alone = F.when(F.count("rs").over(w) == 0, F.struct(F.col("rd").alias("score"), F.col("rd_rank").alias("place"))).when(F.count("rd").over(w) == 0, F.struct(F.col("rs").alias("score"), F.col("rs_rank").alias("place")))
+    fused = alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("s", F.lit(0.0))
+    scored = whole.withColumn("alone", alone).select("qid", "id", F.coalesce("alone.score", fused).alias("score"), F.col("alone.place").alias("place"))
+    return top_k(scored, k, [F.col("place").asc_nulls_last(), F.desc(F.round("score", 9)), F.col("id")]).select("qid", "rank", "id", "score")
 
 
 def context(ranked: DataFrame, title: str = "title", text: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..operators import retrieval as r
+from ..operators.vector_index import IndexConfig, VectorIndex
+from ..sources.workspace import workspace
 from .registry import query
 
 _COSINE = """
@@ -53,6 +55,30 @@ def dense_topk(read):
     return r.dense_top_k(queries, vectors, 5).withColumn("score", F.round("score", 6))
 
 
+def _indexed(read, nprobe: int, same: bool = False):
+    queries, vectors = _vectors(read)
+    config = IndexConfig()
+    index = VectorIndex.create(vectors, workspace(vectors.sparkSession, "vector-index"), config)
+    return index.search(queries, 5, nprobe or config.cells, same).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_COSINE}, {_top('scored', 'score DESC, id', 5, 't')} SELECT qid, rank, id, round(score, 6) AS score FROM t")
+def vector_index_topk(read):
+    """The inverted-file index with all cells probed: its bounds lose nothing."""
+    return _indexed(read, 0)
+
+
+@query(f"WITH {_COSINE}, same AS (SELECT * FROM scored WHERE ql = vl), {_top('same', 'score DESC, id', 5, 't')} SELECT qid, rank, id, round(score, 6) AS score FROM t")
+def vector_index_filtered(read):
+    return _indexed(read, 0, same=True)
+
+
+@query()
+def vector_index_probed(read):
+    """A quarter of the cells. No SQL: what is lost goes by the fitted cells; recall is tested."""
+    return _indexed(read, 16)
+
+
 @query(f"WITH {_COSINE}, same AS (SELECT * FROM scored WHERE ql = vl), {_top('same', 'score DESC, id', 5, 't')} SELECT qid, rank, id, round(score, 6) AS score FROM t")
 def dense_topk_filtered(read):
     """The metadata filter applies before the ranking."""
@@ -125,6 +151,23 @@ def weighted_fusion(read):
     return r.weighted_fusion(*_branches(read), 5, 0.7).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {_BRANCHES},
+c1 AS (SELECT * FROM b1 WHERE qid % 3 <> 0), c2 AS (SELECT * FROM b2 WHERE qid % 3 <> 1),
+n1 AS (SELECT qid, id, rank, score, min(score) OVER w AS lo, max(score) OVER w AS hi FROM c1 WINDOW w AS (PARTITION BY qid)),
+n2 AS (SELECT qid, id, rank, overlap AS score, min(overlap) OVER w AS lo, max(overlap) OVER w AS hi FROM c2 WINDOW w AS (PARTITION BY qid)),
+f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id,
+    0.7 * coalesce(CASE WHEN a.hi > a.lo THEN (a.score - a.lo) / (a.hi - a.lo) ELSE a.score END, 0) + (1 - 0.7) * coalesce(CASE WHEN b.hi > b.lo THEN (b.score - b.lo) / (b.hi - b.lo) ELSE b.score END, 0) AS score
+  FROM n1 a FULL JOIN n2 b ON a.qid = b.qid AND a.id = b.id),
+{_top('f', "round(score, 9) DESC, id", 5, 't')}
+SELECT qid, rank, id, round(score, 6) AS score FROM t WHERE qid % 3 = 2
+UNION ALL SELECT qid, rank, id, round(score, 6) FROM c1 WHERE qid % 3 = 1 AND rank <= 5
+UNION ALL SELECT qid, rank, id, round(overlap, 6) FROM c2 WHERE qid % 3 = 0 AND rank <= 5""")
+def fusion_one_branch(read):
+    """A third of the items have rows in the first branch only, a third in the second: these stay what they are."""
+    one, two = _branches(read)
+    return r.weighted_fusion(one.where("qid % 3 <> 0"), two.where("qid % 3 <> 1"), 5, 0.7).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {_BM25}, {_top('bm', 'round(score, 9) DESC, id', 3, 't')}
 SELECT qid, string_agg('[' || rank || '] Игра: ' || source || chr(10) || 'Релевантность: ' || printf('%.3f', score) || chr(10) || '---' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS context
 FROM t JOIN documents ON id = doc_id GROUP BY qid""")
