@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as t
 from ..operators import corpus as c
 from ..operators import tables
+from ..sources.snapshots import SnapshotTable
 
 LANDING_SCHEMA = "doc_id long, text string, lang string, ts timestamp"
 
@@ -18,29 +19,57 @@ def landing(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFram
     return spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+CHUNKS = "doc_id long, chunk int, chunk_id string, text string, fingerprint string, version long"
+#: state: indexed or failed, with the error. sha256: of the text that was taken.
+STATUS = "doc_id long, state string, error string, sha256 string, n_chunks long, version long"
+
+
+def chunk_table(spark: SparkSession, target: str) -> SnapshotTable:
+    return SnapshotTable(spark, f"{target}/chunks", "doc_id", CHUNKS)
+
+
+def status_table(spark: SparkSession, target: str) -> SnapshotTable:
+    return SnapshotTable(spark, f"{target}/status", "doc_id", STATUS)
+
+
 def prepared(batch: DataFrame, size: int = 128, overlap: int = 20) -> DataFrame:
-    """Chunks of the newest version of each document in the batch, with ids that stay the same on a retry."""
-    newest = tables.latest(batch.where("doc_id is not null and text is not null"), ["doc_id"], ["ts"])
-    return c.chunk_documents(newest, size, overlap, "\n").withColumn("fingerprint", t.sha_fingerprint("text"))
+    """Chunks of the documents, with ids that stay the same on a retry."""
+    return c.chunk_documents(batch, size, overlap, "\n").withColumn("fingerprint", t.sha_fingerprint("text"))
 
 
 def upsert_batch(target: str):
-    """A foreachBatch function: each batch is a version of its own, written over if the batch is repeated.
+    """A foreachBatch function. Of each document the newest row of the batch counts; rows without doc_id are left out.
 
-    ``current`` reads of each document the newest version, so that nothing that is there has to be rewritten.
+    Documents whose text is indexed already are skipped; one without text or without chunks fails with a row that says why, and
+    the others go on. The chunks of a document replace its earlier ones. Both tables are committed under the
+    batch's number, so that a batch that is run again, as a whole or from between the two commits, changes nothing more.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prepared(batch).withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark, number = batch.sparkSession, ("ingest", batch_id)
+        chunks, status = chunk_table(spark, target), status_table(spark, target)
+        newest = tables.latest(batch.where("doc_id is not null"), ["doc_id"], ["ts"]).withColumn("sha256", F.sha2("text", 256))
+        known = status.read().where("state = 'indexed'").select("doc_id", "sha256")
+        todo = newest.join(known, ["doc_id", "sha256"], "left_anti")
+        made = prepared(todo.where("text is not null")).withColumn("version", F.lit(batch_id).cast("long"))
+        chunks.upsert(made, number, gone=todo)
+        counts = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+        rows = todo.join(counts, "doc_id", "left").fillna(0, ["n_chunks"])
+        error = F.when(F.col("text").isNull(), "no text").when(F.col("n_chunks") == 0, "no chunks")
+        rows = rows.select("doc_id", F.when(error.isNull(), "indexed").otherwise("failed").alias("state"), error.alias("error"), "sha256", "n_chunks", F.lit(batch_id).cast("long").alias("version"))
+        status.upsert(rows, number)
 
     return run
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
-    """The chunks of each document's newest version."""
-    rows = spark.read.parquet(target)
-    newest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["doc_id", "version"], "left_semi").drop("batch")
+    """The chunks of each document's newest version. Only folders of the newest manifest are read."""
+    return chunk_table(spark, target).read()
+
+
+def statuses(spark: SparkSession, target: str) -> DataFrame:
+    """One row a document: indexed, or failed and why."""
+    return status_table(spark, target).read()
 
 
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
