@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import metrics as m
 from ..operators import tables as o
+from ..sources.workspace import workspace
+from ..streaming import tasks
 from .registry import query
 
 
@@ -140,3 +142,20 @@ def top_starts(read):
     start = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1), 1, 3))
     rows = read("benchmark").select(start.alias("start"), "item_id")
     return rows.groupBy("start").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item")).orderBy(F.desc("n"), "start").limit(25)
+
+
+@query("""WITH e AS (SELECT user_id AS task_id, event_id, ts, CASE event_type WHEN 'view' THEN 'pending' WHEN 'signup' THEN 'processing' WHEN 'purchase' THEN 'indexed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'retry' END AS state
+  FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL)
+SELECT task_id, arg_max(state, {'ts': ts, 'id': event_id}) AS state, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS since, count(*) AS n_events, count(*) FILTER (state = 'retry') AS n_retries, count(*) FILTER (state = 'failed') AS n_failures
+FROM e WHERE state IS NOT NULL GROUP BY task_id""")
+def task_machine(read):
+    """The event log as a stream in three parts that overlap in time, one of them twice; the state machine's last states."""
+    signals = F.create_map(*[F.lit(x) for pair in {"view": "received", "signup": "started", "purchase": "succeeded", "error": "failed", "click": "retried"}.items() for x in pair])
+    events = read("events").select(F.col("user_id").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), signals[F.col("event_type")].alias("signal"))
+    spark, root = events.sparkSession, workspace(read("events").sparkSession, "task-machine")
+    for part in (0, 1, 1, 2):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/log")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/log")
+    tasks.run_tasks(spark, stream, f"{root}/updates", f"{root}/mark", tasks.TaskConfig(expiry=1e9, backoff=1e9, longest=1e9, watermark="400 days"))
+    last = tasks.latest_states(spark, f"{root}/updates")
+    return last.select("task_id", "state", F.date_format("since", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"), "n_events", "n_retries", "n_failures")

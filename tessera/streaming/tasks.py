@@ -48,8 +48,8 @@ class TaskMachine(StatefulProcessor):
         self.seen = handle.getMapState("seen", "id long", "at long")
 
     def _row(self, key, x: dict) -> pd.DataFrame:
-        at = lambda ms: pd.NaT if ms is None else pd.Timestamp(ms / 1000, unit="ms")  # noqa: E731  state times are microseconds
-        return pd.DataFrame({"task_id": [key[0]], "state": [x["state"]], "reason": [x["reason"]], "since": [at(x["at"])], "due": pd.Series([at(x["due"])], dtype="datetime64[ns]"), "n_events": [x["n_events"]], "n_retries": [x["n_retries"]], "n_failures": [x["n_failures"]]})
+        at = lambda us: pd.to_datetime(pd.Series([us], dtype="Int64"), unit="us", utc=True)
+        return pd.DataFrame({"task_id": [key[0]], "state": [x["state"]], "reason": [x["reason"]], "since": at(x["at"]), "due": at(x["due"]), "n_events": [x["n_events"]], "n_retries": [x["n_retries"]], "n_failures": [x["n_failures"]]})
 
     def _read(self) -> dict | None:
         names = ["state", "reason", "at", "id", "due", "n_events", "n_retries", "n_failures"]
