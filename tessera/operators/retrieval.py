@@ -99,26 +99,40 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> Dat
     return pairs.join(q, "qid").join(v, "id").withColumn("score2", -F.sqrt(squares)).drop("qv", "v")
 
 
-def terms(df: DataFrame, id_: str, text: str = "text") -> DataFrame:
-    """(id, term, tf): lower-cased runs of letters."""
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+)"), 1)
-    return df.select(F.col(id_).alias("id"), F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def tokens(text: str) -> Column:
+    """Lower-cased runs of letters."""
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+)"), 1)
+
+
+def terms(df: DataFrame, id_: str, text: str = "text", length: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf[, length]): distinct tokens of each row. only (term): others are left out before they are counted."""
+    more = [F.size("w").alias("length")] if length else []
+    rows = df.select(F.col(id_).alias("id"), tokens(text).alias("w")).select("id", *more, F.explode("w").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
+    return rows.groupBy("id", "term", *["length"] * length).agg(F.count("*").alias("tf"))
+
+
+#: Question terms that are sent to all tasks which cut texts into tokens.
+FEW_TERMS = 200_000
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, id, score, overlap) for every document that shares a term with a question.
 
     docs (id, text), queries (qid, text). Okapi weights, corpus idf ln(1 + (N - df + 0.5) / (df + 0.5)), each
-    distinct question term counted once. Only question terms leave the documents' side of the join.
+    distinct question term counted once. Other terms are left out before documents' terms are counted: by a broadcast of the questions'
+    terms, up to ``FEW_TERMS``, else by a join. ``PostingsIndex`` spares the tokenising.
     """
-    tf = terms(docs, "id")
     wanted = terms(queries, "qid").select(F.col("id").alias("qid"), "term")
-    lengths = docs.select("id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("dl"))
+    only = wanted.select("term").distinct()
+    few = only.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    postings = terms(docs, "id", length=True, only=F.broadcast(only) if few else only).withColumnRenamed("length", "dl")
+    lengths = docs.select(F.size(tokens("text")).alias("dl"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = tf.join(wanted.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # one row of totals
-    weighted = postings.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(totals))
+    # one row of totals; no more rows of df than terms of questions
+    weighted = postings.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(totals))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return weighted.select("id", "term", part.alias("w")).join(wanted, "term").groupBy("qid", "id").agg(F.sum("w").alias("score"), F.count("*").cast("double").alias("overlap"))

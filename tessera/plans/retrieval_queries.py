@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..operators import retrieval as r
+from ..operators.postings import PostingsIndex
 from ..operators.vector_index import IndexConfig, VectorIndex
 from ..sources.workspace import workspace
 from .registry import query
@@ -124,6 +125,33 @@ def bm25_topk(read):
     return top.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _postings(read, ranges: int) -> PostingsIndex:
+    docs = read("documents").select(F.col("doc_id").alias("id"), "text")
+    index = PostingsIndex(docs.sparkSession, workspace(docs.sparkSession, "postings"))
+    for part in range(3):
+        index.add(docs.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part), ranges)
+    return index
+
+
+_INDEXED = f"WITH {_BM25}, {_top('bm', 'round(score, 9) DESC, id', 5, 't')} SELECT qid, rank, id, round(score, 6) AS score FROM t"
+
+
+@query(_INDEXED)
+def postings_topk(read):
+    """The same ranking from three segments of a written index."""
+    items = read("benchmark").select(F.col("item_id").alias("qid"), "text")
+    return _postings(read, 64).search(items, 5).withColumn("score", F.round("score", 6))
+
+
+@query(_INDEXED)
+def postings_merged(read):
+    """And from the one segment that they are merged to."""
+    index = _postings(read, 64)
+    index.merge(ranges=100)
+    items = read("benchmark").select(F.col("item_id").alias("qid"), "text")
+    return index.search(items, 5).withColumn("score", F.round("score", 6))
+
+
 def _branches(read):
     scores = _bm25(read)
     one = r.top_k(scores, 10, [F.desc(F.round("score", 9)), F.col("id")]).select("qid", "rank", "id", "score")
