@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Prefixes of content-addressed objects.
 SOURCES, PROCESSED = "rules/sources/by-hash/", "rules/processed/by-hash/"
@@ -69,3 +73,37 @@ def user_role(is_admin: Column, is_moderator: Column) -> Column:
 def expires_at(now: Column, minutes: int) -> Column:
     """Seconds since the epoch at which a token issued now runs out."""
     return F.unix_timestamp(now + F.make_dt_interval(mins=F.lit(minutes)))
+
+
+#: Latin letters for Cyrillic ones, and for Latin ones that aren't a letter with a mark.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch - y - e iu ia".replace("-", "").split(" ")))
+LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l"}
+_LETTERS = str.maketrans(CYRILLIC | LATIN)
+
+
+@F.pandas_udf(T.StringType())
+def ascii_lower(texts: pd.Series) -> pd.Series:
+    """Lower case in ASCII as far as letters have a Latin form: marks go, Cyrillic is transliterated."""
+
+    def one(text: str | None) -> str | None:
+        if text is None or text.isascii():
+            return text and text.lower()
+        plain = unicodedata.normalize("NFC", text).lower().translate(_LETTERS)
+        return "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+
+    return texts.map(one)
+
+
+def slug(text: Column) -> Column:
+    """Runs of a-z and 0-9 joined by underscores, none at the ends; a comma between digits goes."""
+    plain = F.regexp_replace(ascii_lower(text), "(?<=[0-9]),(?=[0-9])", "")
+    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def source_filename(title: Column, extension: Column | str, game: Column | None = None) -> Column:
+    """slug_rules.extension, at most 255 characters; without a slug game_<id>, or game where there is no id."""
+    kind = F.regexp_replace(F.lower(F.lit(extension) if isinstance(extension, str) else extension), r"^\.+", "")
+    tail = F.concat(F.lit("_rules."), F.coalesce(F.nullif(kind, F.lit("")), F.lit("bin")))
+    named = F.concat(F.lit("game_"), game.cast("string")) if game is not None else F.lit(None).cast("string")
+    base = F.coalesce(F.nullif(slug(F.coalesce(title, F.lit(""))), F.lit("")), named, F.lit("game"))
+    return F.concat(F.substr(base, F.lit(1), F.greatest(F.lit(1), F.lit(255) - F.length(tail))), tail)

@@ -64,20 +64,32 @@ def char_stats(c: Column | str) -> Column:
     return _char_stats(c)
 
 
-@F.pandas_udf(T.StructType([T.StructField("entropy", T.DoubleType()), T.StructField("max_ratio", T.DoubleType())]))
+def char_stats_each(c: Column | str) -> Column:
+    """char_stats of every text of an array, in order."""
+    return _char_stats_each(c)
+
+
+_STATS = T.StructType([T.StructField("entropy", T.DoubleType()), T.StructField("max_ratio", T.DoubleType())])
+
+
+def _stats_of(text: str | None) -> tuple[float | None, float | None]:
+    if text is None:
+        return None, None
+    codes = np.frombuffer("".join(text.split()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return 0.0, 1.0
+    counts = np.unique(codes, return_counts=True)[1] / len(codes)
+    return float(-(counts * np.log2(counts)).sum()) + 0.0, float(counts.max())
+
+
+@F.pandas_udf(_STATS)
 def _char_stats(texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in texts:
-        if text is None:
-            out.append((None, None))
-            continue
-        codes = np.frombuffer("".join(text.split()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not len(codes):
-            out.append((0.0, 1.0))
-            continue
-        counts = np.unique(codes, return_counts=True)[1] / len(codes)
-        out.append((float(-(counts * np.log2(counts)).sum()) + 0.0, float(counts.max())))
-    return pd.DataFrame(out, columns=["entropy", "max_ratio"])
+    return pd.DataFrame([_stats_of(text) for text in texts], columns=["entropy", "max_ratio"])
+
+
+@F.pandas_udf(T.ArrayType(_STATS))
+def _char_stats_each(arrays: pd.Series) -> pd.Series:
+    return arrays.map(lambda texts: None if texts is None else [dict(zip(("entropy", "max_ratio"), _stats_of(text))) for text in texts])
 
 
 def repetition_ratio(c: Column | str) -> Column:

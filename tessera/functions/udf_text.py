@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,6 +101,32 @@ class _Line:
         return found
 
 
+#: Words of a line up to which ``_may_repeat`` looks at them.
+FEW_WORDS = 400
+
+
+def _may_repeat(line: str) -> bool:
+    """False only if no phrase of two or more words can be followed by a space and itself.
+
+    Of a phrase's two copies all words are equal but the first, which may be the end of a longer word in the first copy, and
+    the last, which may be the beginning of one in the second.
+    """
+    words = line.split()
+    n = len(words)
+    if n > FEW_WORDS:
+        return True
+    places: dict[str, list[int]] = {}
+    for j, word in enumerate(words):
+        if 2 <= j < n - 1 and words[j - 2].endswith(word) and words[j + 1].startswith(words[j - 1]):
+            return True
+        for i in places.get(word, ()):
+            k = j - i
+            if k > 2 and i > 0 and j + k - 1 <= n and words[i - 1].endswith(words[j - 1]) and words[i : i + k - 2] == words[j : j + k - 2] and words[j + k - 2].startswith(words[j - 2]):
+                return True
+        places.setdefault(word, []).append(j)
+    return False
+
+
 def _repeats(line: str) -> list[tuple[int, int]]:
     """(start, length) of phrases that are followed by one space and themselves, leftmost first; at one start
     that of fewest words, then the longest. Spans don't overlap.
@@ -107,9 +134,9 @@ def _repeats(line: str) -> list[tuple[int, int]]:
     Prefix hashes compare the two sides of every space for all lengths at once, where a backtracking pattern
     would take quadratic time.
     """
-    x = _Line(line)
-    if not len(x.spaces):
+    if not _may_repeat(line):
         return []
+    x = _Line(line)
     found = x.near()
     known = np.zeros(len(x.codes), bool)
     known[[p for p, _, _ in found]] = True
@@ -324,25 +351,46 @@ def _grams(items, n: int) -> dict:
     return out
 
 
-def chrf(predicted: str, reference: str, chars: int = 6, words: int = 2, beta: float = 2.0) -> float:
-    """chrF with word n-grams, lower case, from 0 to 1: the mean over the orders that either side has."""
-    predicted, reference = (predicted or "").lower(), (reference or "").lower()
-    if not predicted.strip() or not reference.strip():
-        return 0.0
-    pairs = [("".join(predicted.split()), "".join(reference.split()), chars), (_TOKEN.findall(predicted), _TOKEN.findall(reference), words)]
-    scores = []
-    for a, b, most in pairs:
-        for n in range(1, most + 1):
-            x, y = _grams(a, n), _grams(b, n)
-            if not x and not y:
-                continue
-            same = sum(min(c, y.get(g, 0)) for g, c in x.items())
-            precision, recall = (same / sum(x.values()) if x else 0.0), (same / sum(y.values()) if y else 0.0)
-            bottom = beta * beta * precision + recall
-            scores.append((1 + beta * beta) * precision * recall / bottom if bottom else 0.0)
-    return sum(scores) / len(scores) if scores else 0.0
+def _scored_words(text: str) -> list[str]:
+    """Words parted by white space; one mark at a word's end or else at its beginning is a word of its own."""
+    out = []
+    for word in text.split():
+        if len(word) > 1 and word[-1] in string.punctuation:
+            out += [word[:-1], word[-1]]
+        elif len(word) > 1 and word[0] in string.punctuation:
+            out += [word[0], word[1:]]
+        else:
+            out.append(word)
+    return out
+
+
+def chrf(predicted: str, references: str | list[str], chars: int = 6, words: int = 2, beta: float = 2.0) -> float:
+    """chrF with word n-grams of lower-cased texts, from 0 to 1, against the best reference.
+
+    Precision and recall are each averaged over the orders that both sides have; F is taken of the two averages. Blank
+    predictions and references don't count.
+    """
+    predicted = (predicted or "").strip().lower()
+    best = 0.0
+    for reference in [references] if isinstance(references, str) or references is None else references:
+        reference = (reference or "").strip().lower()
+        if not predicted or not reference:
+            continue
+        precision = recall = 0.0
+        orders = 0
+        for a, b, most in [("".join(predicted.split()), "".join(reference.split()), chars), (_scored_words(predicted), _scored_words(reference), words)]:
+            for n in range(1, most + 1):
+                x, y = _grams(a, n), _grams(b, n)
+                if x and y:
+                    same = sum(min(c, y.get(g, 0)) for g, c in x.items())
+                    precision, recall, orders = precision + same / sum(x.values()), recall + same / sum(y.values()), orders + 1
+        bottom = beta * beta * precision + recall
+        if bottom:
+            best = max(best, (1 + beta * beta) * precision * recall / bottom / orders)
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
 def chrf_pp(predicted: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([chrf(a, b) for a, b in zip(predicted, reference)])
+    """reference: a text, or an array of texts of which the best counts."""
+    return pd.Series([chrf(a, b if b is None or isinstance(b, str) else list(b)) for a, b in zip(predicted, reference)])

@@ -89,10 +89,3 @@ def set_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
     return seen.agg(
         F.count_if(F.col("s") == 3).alias("both"), F.count_if(F.col("s") == 1).alias("only_left"), F.count_if(F.col("s") == 2).alias("only_right"), F.count_if(F.col("s") != 2).alias("left"), F.count_if(F.col("s") != 1).alias("right")
     )
-
-
-def source_filename(title: Column, extension: str) -> Column:
-    """slug(title)_rules.extension, at most 255 characters."""
-    slug = F.regexp_replace(F.lower(title), "[^a-z]+", "_")
-    tail = f"_rules.{extension}"
-    return F.concat(F.substring(slug, 1, 255 - len(tail)), F.lit(tail))

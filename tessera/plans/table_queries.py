@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import names as n
 from ..functions import text as t
 from ..operators import metrics as m
 from ..operators import tables as o
@@ -123,10 +124,20 @@ def link_extract(read):
 def scalar_names(read):
     """File names, fingerprints and score bands from plain columns."""
     return read("events").select(
-        "event_id", o.source_filename(F.col("event_type"), "txt").alias("filename"), t.sha_fingerprint("event_type").alias("fp"), F.when(F.col("value") >= 50, "high").when(F.col("value") >= 10, "mid").otherwise("low").alias("band")
+        "event_id", n.source_filename(F.col("event_type"), "txt").alias("filename"), t.sha_fingerprint("event_type").alias("fp"), F.when(F.col("value") >= 50, "high").when(F.col("value") >= 10, "mid").otherwise("low").alias("band")
     )
 
 
+@query(r"""WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS head, CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN 'txt' ELSE '' END AS ext FROM documents),
+s AS (SELECT doc_id, ext, CASE WHEN doc_id % 10 = 0 THEN '' ELSE trim(regexp_replace(replace(replace(strip_accents(lower('!' || head || ' ' || doc_id || ',5')), 'ß', 'ss'), ',5', '5'), '[^a-z0-9]+', '_', 'g'), '_') END AS slug FROM d)
+SELECT doc_id, CASE WHEN slug = '' THEN 'game_' || doc_id ELSE slug END || '_rules.' || CASE ext WHEN '.PDF' THEN 'pdf' WHEN 'txt' THEN 'txt' ELSE 'bin' END AS filename FROM s""")
+def source_filenames(read):
+    """Titles with accents, digits, marks at both ends and none at all; extensions in several spellings."""
+    title = F.when(F.col("doc_id") % 10 == 0, "¿?").otherwise(F.concat(F.lit("!"), F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(40)), F.lit(" "), F.col("doc_id").cast("string"), F.lit(",5")))
+    kind = F.when(F.col("doc_id") % 3 == 0, ".PDF").when(F.col("doc_id") % 3 == 1, "txt").otherwise("")
+    return read("documents").select("doc_id", n.source_filename(title, kind, F.col("doc_id")).alias("filename"))
+
+
 @query("SELECT (SELECT count(*) FROM (SELECT user_id FROM events INTERSECT SELECT c_custkey FROM customer)) AS both, (SELECT count(*) FROM (SELECT user_id FROM events EXCEPT SELECT c_custkey FROM customer)) AS only_events, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events)) AS only_customers, (SELECT count(DISTINCT user_id) FROM events) AS users")
 def key_sets(read):
     """Intersection and differences of two key sets."""

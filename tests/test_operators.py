@@ -104,6 +104,44 @@ def test_clean_report(spark):
     assert len(got) == 4
 
 
+def test_clean_report_by_row(spark):
+    """Rows without doc_id, and rows that share one, are cleaned by themselves."""
+    text = lambda i: f"Sentence {i} has quite other words than the one before, it is said.\n\nAnother paragraph {i} with some more words in it."
+    rows = [(None, text(1), "en"), (None, text(2), "en"), (5, text(3), "en"), (5, None, "en"), (5, text(3), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((str(r.doc_id), r.raw_len or 0, r.clean_text, r.survival, r.quarantine) for r in corpus.clean_report(docs).collect())
+    assert got == sorted((str(d), len(x or ""), x or "", 1.0 if x else 0.0, 0 if x else 1) for d, x, _ in rows)
+    sums = sorted((str(r.doc_id), r.total, r.bad, r.bad_ratio, r.kept_chars) for r in corpus.paragraph_quality(docs).collect())
+    assert sums == sorted((str(d), 2 if x else 0, 0, 0.0 if x else 1.0, len(x) - 2 if x else 0) for d, x, _ in rows)
+    merged = corpus.merge_lines(spark.createDataFrame([(1, "a\nb\n\nc:\nd\ne"), (1, "x"), (None, "y\nz"), (2, None), (3, "")], "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, merged.collect()))) == sorted(map(str, [(1, 0, "a b"), (1, 1, ""), (1, 2, "c:"), (1, 3, "d e"), (1, 0, "x"), (None, 0, "y z"), (3, 0, "")]))
+
+
+def test_source_filename(spark):
+    from tessera.functions import names
+
+    cases = [("Catan: Seafarers 2", "PDF", 1, "catan_seafarers_2_rules.pdf"), ("Мафия", ".pdf", 1, "mafiia_rules.pdf"), ("", "", 7, "game_7_rules.bin"), (None, "txt", None, "game_rules.txt"), ("Ёлка & Щит", "txt", 1, "iolka_shchit_rules.txt"), ("_Café 1,000_", "txt", 1, "cafe_1000_rules.txt"), ("日本", "txt", 3, "game_3_rules.txt")]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, title string, ext string, game long")
+    got = [r[0] for r in df.orderBy("i").select(names.source_filename(F.col("title"), F.col("ext"), F.col("game"))).collect()]
+    assert got == [c[3] for c in cases]
+    long = spark.createDataFrame([("a" * 400,)], "title string").select(names.source_filename(F.col("title"), "pdf")).first()[0]
+    assert len(long) == 255 and long.endswith("a_rules.pdf")
+
+
+def test_chrf():
+    assert u.chrf("ab", "abcdefghij") == pytest.approx(0.125, abs=5e-4) and u.chrf("a b c d", "a b c d e f g") == pytest.approx(0.521, abs=5e-4)
+    assert u.chrf("The end.", ["other", "the end."]) == pytest.approx(1.0) and u.chrf("x", []) == 0.0 and u.chrf("x", [None, " "]) == 0.0
+    assert u._scored_words('"Yes," he said (twice). a .') == ['"Yes,', '"', "he", "said", "(twice)", ".", "a", "."]
+
+
+def test_may_repeat():
+    """Lines that are passed over have no repeated phrase."""
+    rng, rx = random.Random(11), re.compile(p.REPEATED_PHRASE)
+    for _ in range(20_000):
+        line = " ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 3))) for _ in range(rng.randrange(1, 9)))
+        assert u._may_repeat(line) or not rx.search(line), line
+
+
 def test_chunks():
     text = "First sentence here. Second one is longer, with a clause; and more. " * 30
     out = u.chunk_spans(text, 40, 8)
