@@ -25,6 +25,28 @@ def history(rows: DataFrame, turns: int = 3, each: int = 600, total: int = 3000)
     return kept.groupBy("conv_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"])).alias("history"))
 
 
+#: The heading of a prompt's history, its labels, and the mark of a cut text.
+HISTORY_HEAD, HISTORY_LABELS, CUT = "Контекст предыдущих вопросов по этой же игре:\n", ("QUESTION", "ANSWER"), "...[обрезано]"
+
+
+def qa_history(pairs: DataFrame, turns: int = 5, each: int = 500, total: int = 3000) -> DataFrame:
+    """(conv_id, history) of question and answer pairs (conv_id, turn, q, a): the last ``turns`` as numbered blocks under a heading.
+
+    Texts are stripped and cut to ``each`` characters; blocks are taken from the oldest while their lengths add up to ``total``
+    at most. A conversation whose first block is too long has no history. Null texts are empty.
+    """
+    ask, say = HISTORY_LABELS
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    last = pairs.withColumn("back", back).where(F.col("back") <= turns)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    text = lambda c: t.clip(F.coalesce(c, F.lit("")), each, CUT)
+    number = F.row_number().over(w).cast("string")
+    block = F.concat(F.lit(ask), number, F.lit(": "), text("q"), F.lit(f"\n{say}"), number, F.lit(": "), text("a"))
+    kept = last.select("conv_id", "turn", block.alias("block")).withColumn("upto", F.sum(F.length("block")).over(w)).where(F.col("upto") <= total)
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda x: x["block"])
+    return kept.groupBy("conv_id").agg(F.concat(F.lit(HISTORY_HEAD), F.array_join(blocks, "\n\n")).alias("history"))
+
+
 def search_page(df: DataFrame, column: str, search: str | None, order: list[str], skip: int, limit: int) -> DataFrame:
     """A page of the rows whose column contains the search text (% and _ act as wildcards), with the total."""
     found = df if not search or search == "*" else df.where(F.col(column).ilike(f"%{search}%"))

@@ -43,6 +43,19 @@ def dialog_history(read):
     return o.history(read("conversations"), turns=6, each=600, total=3000)
 
 
+@query(r"""WITH l AS (SELECT conv_id, turn, role, text AS a, lag(role) OVER w AS br, lag(text) OVER w AS q FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(q, ''), '^\s+|\s+$', '', 'g')) AS q, trim(regexp_replace(coalesce(a, ''), '^\s+|\s+$', '', 'g')) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM l WHERE role = 'assistant' AND br = 'user'),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM p WHERE back <= 3),
+b AS (SELECT conv_id, turn, 'QUESTION' || n || ': ' || CASE WHEN length(q) > 300 THEN substr(q, 1, 300) || chr(10) || '...[обрезано]' ELSE q END || chr(10) || 'ANSWER' || n || ': ' || CASE WHEN length(a) > 300 THEN substr(a, 1, 300) || chr(10) || '...[обрезано]' ELSE a END AS block FROM k),
+r AS (SELECT *, sum(length(block)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM b)
+SELECT conv_id, 'Контекст предыдущих вопросов по этой же игре:' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY turn) AS history FROM r WHERE upto <= 1000 GROUP BY conv_id""")
+def qa_history(read):
+    """Question and answer blocks of each conversation."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read("conversations").select("conv_id", "turn", "role", F.col("text").alias("a"), F.lag("role").over(w).alias("before"), F.lag("text").over(w).alias("q"))
+    return o.qa_history(rows.where("role = 'assistant' and before = 'user'"), turns=3, each=300, total=1000)
+
+
 @query("""SELECT conv_id, turn, string_agg(role || ':' || length(text), ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3 FROM conversations""")
 def dialog_last3(read):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 0)

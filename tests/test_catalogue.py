@@ -155,3 +155,27 @@ def test_storage(spark, tmp_path):
     stored = spark.createDataFrame([("f1", "EN "), ("f2", "ru")], "fingerprint string, lang string")
     assert st.chunks_for_evaluation(stored, None, "en").count() == 1
     assert st.chunks_for_evaluation(stored.limit(0), lambda: stored).count() == 2
+
+
+def test_prompt_parts(spark):
+    """Title before the question, a placeholder where nothing is found, history in the prompt."""
+    from tessera.operators import hooks, tables
+
+    chunks = spark.createDataFrame([(100, "the fox runs", "a"), (101, "the cow eats", "b")], "id long, text string, tag string").withColumn("embedding", hooks.embed(F.col("text")))
+    queries = spark.createDataFrame([(1, "who runs", " Chess ", "a"), (2, "who eats", None, "b"), (3, "who", "Go", "none")], "qid long, text string, title string, tag string")
+    assert [r.text for r in s.titled(queries).orderBy("qid").collect()] == ["Игра: Chess. who runs", "who eats", "Игра: Go. who"]
+    got = {r.qid: r.context for r in s.question_contexts(queries, chunks, embedder=hooks.embed, same=True).collect()}
+    assert got[1].startswith("[1] Игра: Chess\nРелевантность: ") and "the fox runs" in got[1] and got[2].startswith("[1] Игра: Unknown") and got[3] == s.NOT_FOUND
+    pairs = spark.createDataFrame([(1, i, f" q{i} ", "a" * 40 if i == 3 else f"a{i}") for i in range(1, 5)] + [(2, 1, "x" * 200, "y"), (3, 1, None, "z")], "conv_id long, turn long, q string, a string")
+    history = {r.conv_id: r.history for r in tables.qa_history(pairs, turns=3, each=30, total=110).collect()}
+    assert history[1] == tables.HISTORY_HEAD + "QUESTION1: q2\nANSWER1: a2\n\nQUESTION2: q3\nANSWER2: " + "a" * 30 + "\n...[обрезано]"
+    assert history[3] == tables.HISTORY_HEAD + "QUESTION1: \nANSWER1: z" and set(history) == {1, 2, 3}
+    assert set(tables.qa_history(pairs, each=500, total=50).select("conv_id").toPandas().conv_id) == {1, 3}
+
+    def echo(prompts):
+        return prompts.where(~prompts.str.contains("mute"), "")
+
+    asked = spark.createDataFrame([(1, "who runs"), (2, "mute")], "qid long, text string")
+    told = spark.createDataFrame([(1, "QUESTION1: before")], "qid long, history string")
+    got = {r.qid: r for r in s.answer(asked, None, told, generator=echo).collect()}
+    assert got[1].answer == "CONTEXT:\n\n\nHISTORY:\nQUESTION1: before\n\nQUESTION:\nwho runs" and got[2].answer == s.NO_ANSWER and got[2].history == s.NO_HISTORY
