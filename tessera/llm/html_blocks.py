@@ -320,8 +320,41 @@ class _Pages:
                     out += self.text(0, self.pick(["p", "li", "div", "p"]), cue() + self.prose(2, 40))
         return [*out, (f"</{tag}>", None)]
 
+    def unnamed(self) -> str:
+        """No name, a plain one, or one that says nothing."""
+        return self.pick(["", "", "", "", self.named(PLAIN_NAMES), self.named(MAIN_NAMES), f' class="{self.pick(self.words)}"', f' id="{self.pick(self.words)}{int(self.rng.integers(99))}"'])
+
+    def body(self) -> list[tuple[str, int | None]]:
+        """An article as older and plainer pages have it: text between line breaks, or divs within divs."""
+        lines = [self.prose(1, 120) for _ in range(int(np.exp(self.rng.uniform(0, np.log(12)))))]
+        out = self.text(1, self.pick(["h1", "h1", "h2"]), self.prose(2, 14)) if self.chance(0.4) else []
+        if self.chance(0.5):  # one block, in which line breaks are spaces
+            return [*out, (self.pick(["<br>", "<br><br>", "<br/>\n"]).join(lines), 1)]
+        tag = self.pick(["div", "div", "div", "p", "section"])
+        return [*out, *(x for line in lines for x in [(f"<{tag}{self.unnamed() if tag == 'div' else ''}>", None), (line, 1), (f"</{tag}>", None)])]
+
+    def plain_page(self) -> list[tuple[str, int | None]]:
+        """Pages without a container that says what it is: bare text, unnamed divs, tables of columns, articles alone."""
+        kind = self.pick(["text", "alone", "divs", "divs", "divs", "divs", "divs", "table"])
+        if kind == "text":
+            return [("\n".join(self.prose(3, 150) for _ in range(int(self.rng.integers(1, 4)))), 1)]
+        noise = lambda kinds, p: [x for k in kinds if self.chance(p) for x in self.noise(k, False)]
+        start, end = [("<html><head>", None), *self.text(0, "title", self.prose(2, 12)), ("</head><body>", None)], [("</body></html>", None)]
+        if kind == "alone":
+            tag = self.pick(["", "div", "article", "main"])
+            return (start if self.chance(0.5) else []) + ([(f"<{tag}{self.unnamed() if tag == 'div' else ''}>", None), *self.body(), (f"</{tag}>", None)] if tag else self.body())
+        before, after = noise(("header", "menu", "notice", "advert"), 0.5), noise(("side", "comments", "form", "footer"), 0.4)
+        if kind == "table":
+            links = [x for _ in range(int(self.rng.integers(1, 6))) for x in [(f'<a href="/x">{self.prose(1, 3)}</a>', 0), ("<br>", None)]][:-1]
+            cells = [[("<td>", None), *([(" ".join(t for t, _ in links), 0)] if self.chance(0.5) else self.noise("menu", False)), ("</td>", None)], [(f"<td{self.unnamed()}>", None), *self.body(), ("</td>", None)]]
+            return [*start, *noise(("header",), 0.4), ("<table><tr>", None), *(x for c in (cells if self.chance(0.7) else cells[::-1]) for x in c), ("</tr></table>", None), *noise(("footer",), 0.5), *end]
+        deep = [self.unnamed() for _ in range(int(self.rng.integers(1, 4)))]
+        return [*start, *before, *((f"<div{w}>", None) for w in deep), *self.body(), *(("</div>", None) for _ in deep), *after, *end]
+
     def page(self) -> tuple[list[Block], np.ndarray]:
-        """Blocks and labels; a label rides along in a mark that is taken off again."""
+        return self.cut(self.plain_page() if self.chance(0.5) else self.usual_page())
+
+    def usual_page(self) -> list[tuple[str, int | None]]:
         parts: list[tuple[str, int | None]] = [("<html><head>", None), *self.text(0, "title", self.prose(2, 12)), ("<style>p{margin:0}</style></head><body>", None)]
         wraps = [self.named(PLAIN_NAMES) for _ in range(int(self.rng.integers(0, 3)))]
         parts += [(f"<div{w}>", None) for w in wraps]
@@ -366,7 +399,10 @@ class _Pages:
         for kind in ("comments", "side", "advert", "form", "menu", "notice", "footer"):
             if self.chance({"footer": 0.8}.get(kind, 0.3)):
                 parts += self.noise(kind, False)
-        parts += [("</div>", None)] * len(wraps) + [("</body></html>", None)]
+        return [*parts, *[("</div>", None)] * len(wraps), ("</body></html>", None)]
+
+    def cut(self, parts: list[tuple[str, int | None]]) -> tuple[list[Block], np.ndarray]:
+        """Blocks and labels; a label rides along in a mark that is taken off again."""
         page = "".join(p if label is None else f"\x01{label}{p}" for p, label in parts)
         blocks, labels = [], []
         for b in blocks_of(page):
@@ -385,7 +421,7 @@ def training_pages(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 700, hidden: int = 16, epochs: int = 28, seed: int = 7) -> BiLSTM:
+def trained(pages: int = 2000, hidden: int = 24, epochs: int = 30, seed: int = 7) -> BiLSTM:
     """The labeller, trained by Adam on made-up pages; the same for the same arguments."""
     made = sorted(training_pages(pages, seed), key=lambda p: len(p[0]))
     batches = []
@@ -413,6 +449,24 @@ def trained(pages: int = 700, hidden: int = 16, epochs: int = 28, seed: int = 7)
     return model
 
 
+#: Where no block passes, a run of blocks is the article if their odds against this share multiply to more than one.
+LEAST_SHARE = 0.05
+
+
+def _chosen(p: np.ndarray) -> np.ndarray:
+    """The blocks of the article: those of one half or more; if there are none, the run of the greatest odds, if any."""
+    if (p >= 0.5).any():
+        return p >= 0.5
+    q = np.clip(p, 1e-6, 1 - 1e-6)
+    gain = np.log(q / (1 - q)) - np.log(LEAST_SHARE / (1 - LEAST_SHARE))
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    low = np.minimum.accumulate(total)
+    end = int((total - low).argmax())
+    begin = int(total[: end + 1].argmin())
+    at = np.arange(len(p))
+    return (at >= begin) & (at < end) & (total[end] > low[end])
+
+
 def main_texts(pages: list[str], model: BiLSTM) -> list[str]:
     """The main text of each page; empty where no block belongs to the article."""
     cut = [blocks_of(p) for p in pages]
@@ -422,14 +476,15 @@ def main_texts(pages: list[str], model: BiLSTM) -> list[str]:
         some = order[a:b]
         x, mask = padded([page_vectors(cut[i]) for i in some])
         for i, p in zip(some, model.forward(x, mask)):
-            out[i] = "\n".join(block.text for block, q in zip(cut[i], p) if q >= 0.5)
+            out[i] = "\n".join(block.text for block, own in zip(cut[i], _chosen(p[: len(cut[i])])) if own)
     return out
 
 
 def extract(pages: DataFrame, model: BiLSTM | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    A null or empty html, or one without article blocks, gives an empty text; pages of any length are read whole,
+    A null or empty html, or one without article blocks, gives an empty text (where no block reaches one half, the likeliest
+    run of blocks is taken, if there is one); pages of any length are read whole,
     and repeated rows give repeated rows. Other columns are left out. An empty table gives no rows.
     """
     spark = pages.sparkSession
