@@ -352,7 +352,7 @@ class _Pages:
         return [*start, *before, *((f"<div{w}>", None) for w in deep), *self.body(), *(("</div>", None) for _ in deep), *after, *end]
 
     def page(self) -> tuple[list[Block], np.ndarray]:
-        return self.cut(self.plain_page() if self.chance(0.5) else self.usual_page())
+        return self.cut(self.plain_page() if self.chance(0.25) else self.usual_page())
 
     def usual_page(self) -> list[tuple[str, int | None]]:
         parts: list[tuple[str, int | None]] = [("<html><head>", None), *self.text(0, "title", self.prose(2, 12)), ("<style>p{margin:0}</style></head><body>", None)]
@@ -421,7 +421,7 @@ def training_pages(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 2000, hidden: int = 24, epochs: int = 30, seed: int = 7) -> BiLSTM:
+def trained(pages: int = 1100, hidden: int = 16, epochs: int = 28, seed: int = 7) -> BiLSTM:
     """The labeller, trained by Adam on made-up pages; the same for the same arguments."""
     made = sorted(training_pages(pages, seed), key=lambda p: len(p[0]))
     batches = []

@@ -52,7 +52,7 @@ SHAPES = {
 def test_shapes(shape):
     page, text = SHAPES[shape]
     got = hb.main_texts([page], hb.trained())[0]
-    if shape == "unknown container":  # open: of such a page one of the paragraphs can be lost
+    if shape == "unnamed divs":  # open: of such a page one of the paragraphs can be lost
         assert got and set(got.split("\n")) <= set(text.split("\n"))
     else:
         assert got == text
