@@ -114,15 +114,18 @@ def two_stage_rerank(read):
     return top.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
-def _bm25(read):
+def _bm25(read, k: int, by: tuple[str, ...] = ("score",)):
+    """k documents an item and order, written: what follows may use them several times and knows that they are few."""
     docs = read("documents").select(F.col("doc_id").alias("id"), "text")
-    return r.bm25_scores(docs, read("benchmark").select(F.col("item_id").alias("qid"), "text"))
+    top = r.bm25_top_k(docs, read("benchmark").select(F.col("item_id").alias("qid"), "text"), k, by)
+    path = workspace(docs.sparkSession, "bm25-top")
+    top.write.parquet(path)
+    return docs.sparkSession.read.schema(top.schema).parquet(path)
 
 
 @query(f"WITH {_BM25}, {_top('bm', 'round(score, 9) DESC, id', 5, 't')} SELECT qid, rank, id, round(score, 6) AS score FROM t")
 def bm25_topk(read):
-    top = r.top_k(_bm25(read), 5, [F.desc(F.round("score", 9)), F.col("id")])
-    return top.select("qid", "rank", "id", F.round("score", 6).alias("score"))
+    return _bm25(read, 5).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def _postings(read, ranges: int) -> PostingsIndex:
@@ -153,9 +156,8 @@ def postings_merged(read):
 
 
 def _branches(read):
-    scores = _bm25(read)
-    one = r.top_k(scores, 10, [F.desc(F.round("score", 9)), F.col("id")]).select("qid", "rank", "id", "score")
-    return one, r.top_k(scores, 10, [F.desc("overlap"), F.col("id")]).select("qid", "rank", "id", F.col("overlap").alias("score"))
+    top = _bm25(read, 10, ("score", "overlap"))
+    return tuple(top.where(F.col("by") == name).select("qid", "rank", "id", F.col(name).alias("score")) for name in ("score", "overlap"))
 
 
 @query(f"""WITH {_BRANCHES},
@@ -201,7 +203,7 @@ SELECT qid, string_agg('[' || rank || '] Игра: ' || source || chr(10) || 'Р
 FROM t JOIN documents ON id = doc_id GROUP BY qid""")
 def context_format(read):
     """The three best documents of each item as the context of a prompt; the source stands for the title."""
-    top = r.top_k(_bm25(read), 3, [F.desc(F.round("score", 9)), F.col("id")])
+    top = _bm25(read, 3).select("qid", "rank", "id", "score")
     docs = read("documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title"))
     return r.context(top.join(docs, "id"))
 
