@@ -7,7 +7,8 @@ the distance between it and what the code decodes to, and the vector itself (for
 A search sends each question to its ``nprobe`` nearest cells; questions and codes meet by a cogrouped join on (cell, group),
 in which lookup tables give the distance to each decoded vector. Since the error of decoding is stored, the triangle
 inequality gives a lower and an upper bound of the true distance. A vector whose lower bound exceeds the k-th upper
-bound can't be among the k best; all others are re-scored from their vectors. So the ranking is exact within the
+bound of its group can't be among the k best; all others are re-scored from their vectors, in the same task, which passes on its k best.
+So what is shuffled doesn't grow with how loose the bounds are. The ranking is exact within the
 probed cells, and over all rows with ``nprobe`` as large as the number of cells.
 
 Groups hold about ``group_rows`` vectors: a cell with a large share of the sample is dealt out to more groups, so that
@@ -122,10 +123,32 @@ class Model:
         rest, c = q - self.centres[cell], self.cuts
         total = np.zeros((len(q), len(codes)))
         for j, (a, b, book) in enumerate(zip(c, c[1:], self.books)):
-            total += _squares(rest[:, a:b], book)[:, codes[:, j]]
+            total += np.take(_squares(rest[:, a:b], book), codes[:, j], axis=1)
         return np.sqrt(total)
 
 
+def _k_best(q: np.ndarray, v: np.ndarray, left: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, vector, score) of the k best of what is left for each question; ties to the smaller id.
+
+    A matrix product finds what comes near the k-th; those are scored one by one, so that copies get equal scores.
+    """
+    columns = np.flatnonzero(left.any(axis=0))
+    left, v, ids = left[:, columns], v[columns], ids[columns]
+    near = np.where(left, q @ v.T if metric == "cosine" else -_squares(q, v), -np.inf)
+    if len(columns) > k:
+        scale = 1e-9 if metric == "cosine" else 1e-9 * max(1.0, float((q * q).sum(axis=1).max(initial=0)), float((v * v).sum(axis=1).max(initial=0)))
+        left = left & (near >= np.partition(near, len(columns) - k, axis=1)[:, len(columns) - k][:, None] - scale)
+    a, b = np.nonzero(left)
+    score = np.empty(len(a))
+    for i in range(0, len(a), 1 << 16):
+        x, y = q[a[i : i + (1 << 16)]], v[b[i : i + (1 << 16)]]
+        score[i : i + (1 << 16)] = (x * y).sum(axis=1) if metric == "cosine" else -np.sqrt(((x - y) ** 2).sum(axis=1))
+    order = np.lexsort((ids[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    first = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[first], columns[b[first]], score[first]
+
+
 def fit(vectors: DataFrame, config: IndexConfig) -> Model | None:
     """The model of the sample; none if there are no usable vectors. n counts all of them for the groups."""
     rows = usable(vectors, "id", config.metric).select(F.xxhash64("id").alias("h"), "id", "embedding")
@@ -221,6 +244,10 @@ class VectorIndex:
 
     def _bounds(self, queries: DataFrame, k: int, nprobe: int | None, same: bool) -> DataFrame:
         """(qid, id, cell, low, high): what each group of codes can't leave out by itself."""
+        return self._met(queries, k, nprobe, same, False)
+
+    def _met(self, queries: DataFrame, k: int, nprobe: int | None, same: bool, exact: bool) -> DataFrame:
+        """What each group of codes can't leave out: all of it with its bounds, or (exact) its k best as (qid, id, score)."""
         model = self.model
         probes = self.probes(queries, min(nprobe or self.config.nprobe, len(model.centres)))
         met = {r.cell: r.n for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
@@ -228,11 +255,11 @@ class VectorIndex:
         codes = self.codes.where(F.col("cell").isin(list(met)))
         spread = F.lit(model.groups.tolist())
         asked = probes.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.get(spread, F.col("cell")).cast("int") - 1)))
-        held = codes.select("cell", "group", "id", "tag", "code", "error", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        held = codes.select("cell", "group", "id", "tag", "code", "error", *["embedding"] * exact, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         shared = self.spark.sparkContext.broadcast(model)
 
         def bound(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+            out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)][: 3 if exact else 4]
             if left.num_rows and right.num_rows:
                 m, cell = shared.value, key[0].as_py()
                 vectors = np.asarray(left.column("embedding").combine_chunks().flatten()).reshape(left.num_rows, -1)
@@ -240,6 +267,7 @@ class VectorIndex:
                 error, tags = np.asarray(right.column("error")), (np.array(t.column("tag").to_pylist(), object) for t in (left, right))
                 own, theirs = tags
                 grid = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+                full = np.asarray(right.column("embedding").combine_chunks().flatten()).reshape(len(ids), -1) if exact else None
                 found = []
                 for a in range(0, len(qids), TILE):
                     d = m.distances(vectors[a : a + TILE], cell, grid)
@@ -249,24 +277,24 @@ class VectorIndex:
                         fit &= (own[a : a + TILE, None] == theirs[None, :]) & np.array([t is not None for t in theirs])
                     high[~fit] = np.inf
                     least = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.inf
-                    q, i = np.nonzero(fit & (d - error - SLACK <= least))
+                    left = fit & (d - error - SLACK <= least)
+                    if exact:
+                        q, i, score = _k_best(vectors[a : a + TILE], full, left, ids, k, m.metric)
+                        found.append((qids[a + q], ids[i], score))
+                        continue
+                    q, i = np.nonzero(left)
                     found.append((qids[a + q], ids[i], (d - error - SLACK)[q, i], high[q, i]))
                 out = [np.concatenate(x) for x in zip(*found)]
+            if exact:
+                return pa.table({"qid": out[0], "id": out[1], "score": out[2]})
             return pa.table({"qid": out[0], "id": out[1], "cell": pa.array(np.full(len(out[0]), key[0].as_py()), pa.int32()), "low": out[2], "high": out[3]})
 
         keys = ["cell", "group", "block"]
-        return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(bound, "qid long, id long, cell int, low double, high double")
+        return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(bound, "qid long, id long, score double" if exact else "qid long, id long, cell int, low double, high double")
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, same: bool = False) -> DataFrame:
         """(qid, rank, id, score): the k best rows of the probed cells, scored exactly. With ``same`` only rows of the question's tag count.
 
         A vector isn't its own answer. score: cosine, or the negated distance.
         """
-        able = self.candidates(queries, k, nprobe, same)
-        q = self.probes(queries, 1).select("qid", F.col("embedding").alias("qv"))
-        rows = self.codes.select("cell", "id", F.col("embedding").alias("v"))
-        pairs = able.join(rows, ["cell", "id"]).join(q, "qid")
-        unit = self.model.metric == "cosine"
-        total = F.expr(f"aggregate(zip_with(qv, v, (a, b) -> {'a * b' if unit else '(a - b) * (a - b)'}), 0D, (s, x) -> s + x)")
-        score = total if unit else -F.sqrt(total)
-        return top_k(pairs.select("qid", "id", score.alias("score")), k).select("qid", "rank", "id", "score")
+        return top_k(self._met(queries, k, nprobe, same, True), k).select("qid", "rank", "id", "score")

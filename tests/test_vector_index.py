@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as r
 from tessera.operators.vector_index import IndexConfig, VectorIndex, k_means
@@ -76,3 +77,13 @@ def test_k_means():
     x = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
     assert np.allclose(np.sort(k_means(x, 3, 10).ravel()), [0.05, 5.05, 9.0])
     assert len(k_means(np.ones((5, 2)), 3, 3)) == 1
+
+
+def test_search_passes_on_k_rows_a_group(spark, tmp_path):
+    """What a group leaves is scored where it lies: nothing is joined again, however loose the bounds are."""
+    vectors = table(spark)
+    index = VectorIndex.create(vectors, str(tmp_path), IndexConfig(cells=12, parts=1, codes=1, nprobe=12, group_rows=60))
+    assert rows(index.search(asked(vectors), 5)) == rows(r.dense_top_k(asked(vectors), vectors, 5))
+    assert "Join" not in index.search(asked(vectors), 5)._jdf.queryExecution().optimizedPlan().toString()
+    found = index._met(asked(vectors), 5, None, False, True)
+    assert found.groupBy("qid").count().agg(F.max("count")).first()[0] <= 5 * int(index.model.groups.sum())
