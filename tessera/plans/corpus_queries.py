@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..functions import udf_text as u
 from ..operators import corpus as c
 from ..operators import metrics as m
+from ..sources.workspace import workspace
 from .registry import query
 
 _INK = "regexp_replace(text, '[\\s\\v\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0085}]', '', 'g')"
@@ -103,9 +104,13 @@ def spearman_matrix(read):
 
     Ranks come from the counts of distinct values: a running sum over them, not a sort of all rows in one task.
     """
-    rows = c.char_metrics(read("documents")).select(F.round("alpha", 9).alias("a"), F.round("max_char", 9).alias("m"), F.col("n_lines").cast("double").alias("l"))
+    measured = c.char_metrics(read("documents")).select(F.round("alpha", 9).alias("a"), F.round("max_char", 9).alias("m"), F.col("n_lines").cast("double").alias("l"))
+    path = workspace(measured.sparkSession, "spearman")
+    measured.write.parquet(path)  # three numbers a document; the texts are measured once
+    values = measured.sparkSession.read.schema(measured.schema).parquet(path)
+    rows = values
     for name in ("a", "m", "l"):
-        counts = rows.groupBy(name).agg(F.count("*").alias("n"))
+        counts = values.groupBy(name).agg(F.count("*").alias("n"))
         # the running sum is over ranges of values first, then within each
         parts = counts.withColumn("part", F.floor(F.col(name) * 100))
         sums = parts.groupBy("part").agg(F.sum("n").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size"))
