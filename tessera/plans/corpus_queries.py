@@ -240,21 +240,9 @@ _NORM = "regexp_replace(regexp_replace(replace(lower({}), 'ё', 'е'), '[\\s\\x{
 @query(f"""WITH d AS (SELECT doc_id, {_NORM.format(_STRIP.format('text'))} AS t FROM documents), b AS (SELECT item_id, {_NORM.format(_STRIP.format('text'))} AS q FROM benchmark)
 SELECT item_id, count(doc_id) AS docs, min(doc_id) AS first_doc FROM b LEFT JOIN d ON q <> '' AND contains(t, q) GROUP BY item_id""")
 def quote_in_context(read):
-    """Documents that quote each item, after normalisation.
-
-    The first and last word of a quote may be part of a longer word of the text, but its inner words stand
-    alone there: the second to fourth words (or the second) key a join, and only its pairs are searched.
-    """
-    items = read("benchmark").select("item_id", t.normalize_quote(t.nfkc("text")).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
-    docs = read("documents").select("doc_id", "text")
-    normal = t.normalize_quote(t.nfkc("text")).alias("t")
-    key = F.when(F.size("w") >= 5, F.concat_ws(" ", F.slice("w", 2, 3))).when(F.size("w") >= 3, F.element_at("w", 2)).otherwise(F.lit(""))
-    keyed = items.select("item_id", key.alias("gram"))
-    words = docs.select("doc_id", F.split(normal, " ").alias("w"))
-    # the empty key is that of items without inner words, which any text may quote
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.concat(t.ngrams(F.col("w"), 3), F.col("w"), F.array(F.lit(""))))).alias("gram"))
-    near = grams.join(keyed, "gram").select("item_id", "doc_id").distinct()
-    pairs = near.join(docs, "doc_id").select("item_id", "doc_id", normal).join(items.select("item_id", "q"), "item_id").where(F.expr("contains(t, q)"))
+    """Documents that quote each item, after normalisation: one scan, in which no word or n-gram becomes a row."""
+    items = read("benchmark").select("item_id", t.normalize_quote(t.nfkc("text")).alias("q"))
+    pairs = c.quoting(read("documents").select("doc_id", t.normalize_quote(t.nfkc("text")).alias("t")), items)
     counts = pairs.groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
     return read("benchmark").select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), "first_doc")
 
