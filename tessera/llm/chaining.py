@@ -433,28 +433,40 @@ def passages(docs: DataFrame, config: ChainConfig = ChainConfig(), stage: Stage
     return first.select(*names)
 
 
+FIELDS = ["a", "b0", "b1", "a0", "a1", "score", "anchors"]
+
+
+def _cut_words(batch: pa.RecordBatch, config: ChainConfig) -> Iterator[list[pa.Array]]:
+    """Of rows (b, text, chains): FIELDS of each chain, b, and the place and hashes of b's words around it.
+
+    Texts are hashed CHUNK bytes at a time, however many a batch holds.
+    """
+    texts = as_bytes(batch.column("text"))
+    for s, e in slices(map(len, texts), CHUNK):
+        lists = batch.column("chains").slice(s, e - s)
+        flat, lengths = lists.flatten(), np.asarray(lists.value_lengths())
+        columns = {f: np.asarray(flat.field(f)) for f in ("b0", "b1")}
+        words = word_hashes(texts[s:e])
+        doc = np.repeat(np.asarray(batch.column("b"))[s:e], lengths)
+        row = np.repeat(np.arange(e - s), lengths)
+        low = np.maximum(0, columns["b0"].astype(np.int64) - config.margin)
+        high = columns["b1"].astype(np.int64) + config.margin
+        for x, y in slices((4 * (high - low)).tolist(), 1 << 20):
+            parts = [words[r][i:j].astype("<u4").tobytes() for r, i, j in zip(row[x:y].tolist(), low[x:y].tolist(), high[x:y].tolist())]
+            yield [flat.field(f).slice(x, y - x) for f in FIELDS] + [int64(doc[x:y]), pa.array(low[x:y].astype(np.int32)), pa.array(parts, pa.binary())]
+
+
 def _aligned(base: DataFrame, linked: DataFrame, config: ChainConfig) -> DataFrame:
     """The passages that chains extend to.
 
     The words of b around each chain go to the document a, where they are aligned. An a that very many chains lead
     to is a skewed key of a plain join, which adaptive execution splits.
     """
-    fields = ["a", "b0", "b1", "a0", "a1", "score", "anchors"]
-    cut_names = [*fields, "b", "at", "words"]
+    cut_names = [*FIELDS, "b", "at", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, flat = batch.column("chains"), batch.column("chains").flatten()
-            columns = {f: np.asarray(flat.field(f)) for f in fields}
-            ends = np.cumsum(np.asarray(lists.value_lengths()))
-            words = word_hashes(as_bytes(batch.column("text")))
-            doc = np.repeat(np.asarray(batch.column("b")), np.diff(ends, prepend=0))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
-            low = np.maximum(0, columns["b0"].astype(np.int64) - config.margin)
-            high = columns["b1"].astype(np.int64) + config.margin
-            for x, y in slices((4 * (high - low)).tolist(), 1 << 20):
-                parts = [words[r][i:j].astype("<u4").tobytes() for r, i, j in zip(row[x:y].tolist(), low[x:y].tolist(), high[x:y].tolist())]
-                out = [flat.field(f).slice(x, y - x) for f in fields] + [int64(doc[x:y]), pa.array(low[x:y].astype(np.int32)), pa.array(parts, pa.binary())]
+            for out in _cut_words(batch, config):
                 yield pa.RecordBatch.from_arrays(out, cut_names)
 
     cut_out = base.join(linked, base.doc == linked.b).select("b", "text", "chains").mapInArrow(cut, f"{CHAIN}, b long, at int, words binary")

@@ -1,6 +1,9 @@
 """Seed chaining: planted passages, plain dynamic programmes and edge cases."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import chaining as ch
 
@@ -127,3 +130,21 @@ def test_stock_sentences(spark):
         got.setdefault(r.doc_id, []).append((r.start, r.end))
     assert len({d for d, _ in want}) >= 10
     assert all(any(a <= at and at + 40 <= b for a, b in got.get(d, [])) for d, at in want)
+
+
+def test_words_around_chains_take_little_memory():
+    """A batch of 8 MB of text is hashed piece by piece; rows without chains and empty texts keep their places."""
+    texts = ["", *(" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(1000))]
+    chains = [[{"a": i, "b0": 70 + k, "b1": 120, "a0": 0, "a1": 50, "score": 1.0, "anchors": 1} for k in range(i % 3)] for i in range(len(texts))]
+    kind = pa.list_(pa.struct([("a", pa.int64()), *((n, pa.int32()) for n in ("b0", "b1", "a0", "a1")), ("score", pa.float64()), ("anchors", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(chains, kind)], ["b", "text", "chains"])
+    tracemalloc.start()
+    got = [row for out in ch._cut_words(batch, ch.ChainConfig()) for row in zip(*(c.to_pylist() for c in (out[0], out[1], *out[-3:])))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak
+    want = []
+    for i, own in enumerate(chains):
+        words = ch.word_hashes([texts[i].encode()])[0] if own else None
+        want += [(i, c["b0"], i, c["b0"] - 64, words[c["b0"] - 64 : 184].astype("<u4").tobytes()) for c in own]
+    assert got == want
