@@ -151,8 +151,11 @@ ENGLISH = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "a"]
 def detect_language(c: Column) -> Column:
     """A stand-in for a language model: ru by script, en by frequent words; unknown below 50 characters or a share of 0.7
     of the script."""
-    letters = t.letters(c)
-    share = lambda script: F.when(letters > 0, F.regexp_count(c, F.lit(script)) / letters).otherwise(0.0)
-    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1)
-    common = F.size(F.filter(words, lambda w: w.isin(ENGLISH))) / F.greatest(F.size(words), F.lit(1))
-    return F.when(F.length(c) < 50, "unknown").when(share("[Ѐ-ӿ]") >= 0.7, "ru").when((share("[A-Za-z]") >= 0.7) & (common >= 0.02), "en").otherwise("unknown")
+    count = lambda outside: F.length(F.regexp_replace(c, outside, ""))  # noqa: E731 - no array of single characters
+    measured = F.struct(count(r"[^\p{L}]+").alias("letters"), count("[^Ѐ-ӿ]+").alias("ru"), count("[^A-Za-z]+").alias("en"))
+    share = lambda x, script: F.when(x["letters"] > 0, x[script] / x["letters"]).otherwise(0.0)
+    words = F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " ")), " ")
+    # the words and counts are variables of functions of one value, so that each is made once a text
+    common = F.transform(F.array(words), lambda w: F.size(F.filter(w, lambda x: x.isin(ENGLISH))) / F.greatest(F.size(w), F.lit(1)))[0]
+    judged = F.transform(F.array(measured), lambda x: F.when(share(x, "ru") >= 0.7, "ru").when((share(x, "en") >= 0.7) & (common >= 0.02), "en").otherwise("unknown"))[0]
+    return F.when(F.length(c) < 50, "unknown").otherwise(judged)
