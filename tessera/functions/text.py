@@ -136,7 +136,8 @@ def nfkc(texts: pd.Series) -> pd.Series:
 def ngrams(tokens: Column, n: int) -> Column:
     """Arrays of n consecutive tokens joined by a space."""
     count = F.size(tokens) - F.lit(n - 1)
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
+    following = lambda i: [F.get(tokens, i + k) for k in range(1, n)]
+    grams = F.transform(F.slice(tokens, F.lit(1), F.greatest(count, F.lit(0))), lambda x, i: F.concat_ws(" ", x, *following(i)))
     return F.when(count > 0, grams).otherwise(F.array().cast("array<string>"))
 
 

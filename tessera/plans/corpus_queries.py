@@ -83,10 +83,11 @@ SELECT lang, rank, gram, n FROM t WHERE rank <= 25"""
     @query(sql, name=f"top_ngrams_{n}")
     def top(read):
         """The 25 most frequent n-grams of each language, after stop words, short and non-letter tokens are gone."""
-        stop = F.coalesce(*[F.when(F.col("lang") == k, F.array(*map(F.lit, v))) for k, v in STOP.items()], F.array().cast("array<string>"))
-        tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+|[0-9]+)"), 1)
-        kept = F.filter(F.col("tk"), lambda x: (F.length(x) >= 2) & x.rlike(r"^\p{L}+$") & ~F.array_contains(F.col("stop"), x))
-        rows = read("documents").select("lang", tokens.alias("tk"), stop.alias("stop")).select("lang", kept.alias("tk"))
+        # runs of letters are the tokens that are no digits; the pattern runs once a text, the stop words are constants
+        rows = read("documents").select("lang", F.split(F.lower("text"), r"[^\p{L}]+").alias("tk"))
+        kept = lambda stop: F.filter("tk", lambda x: (F.length(x) >= 2) & ~x.isin(stop))
+        by_lang = F.coalesce(*[F.when(F.col("lang") == k, kept(v)) for k, v in STOP.items()], F.filter("tk", lambda x: F.length(x) >= 2))
+        rows = rows.select("lang", by_lang.alias("tk"))
         grams = rows.select("lang", F.explode(t.ngrams(F.col("tk"), n)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
         ranked = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
         return ranked.where("rank <= 25").select("lang", "rank", "gram", "n")

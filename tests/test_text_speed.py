@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from tessera.plans import registry
+from tessera.plans.corpus_queries import STOP
 from tessera.sources import storage
 
 
@@ -29,3 +31,27 @@ def test_detect_language(spark):
     found = rows.select("i", storage.detect_language(F.col("text")).alias("language"))
     assert [r.language for r in found.orderBy("i").collect()] == [plain(t) for t in texts]
     assert "regexp_count" not in plan(found) and "regexp_extract_all" not in plan(found)  # an array of single characters for each
+
+
+def test_top_ngrams(spark):
+    texts = [("en", "The cat3sat on the mat; cats sat on a mat mat"), ("en", "x"), ("de", "Der Hund und die Katze und der Hund"), (None, "The cat sat, the cat sat"), ("it", "")] * 2
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(texts)], "doc_id long, lang string, text string")
+    for n in (1, 2, 3):
+        counts = {}
+        for lang, text in texts:
+            words = [w for w in re.findall(r"[^\W\d_]+|[0-9]+", text.lower()) if len(w) >= 2 and w.isalpha() and w not in STOP.get(lang, [])]
+            for i in range(len(words) - n + 1):
+                key = (lang, " ".join(words[i : i + n]))
+                counts[key] = counts.get(key, 0) + 1
+        found = registry_query(spark, f"top_ngrams_{n}", docs)
+        assert {(r.lang, r.gram): r.n for r in found.collect()} == counts
+        text = plan(found)
+        assert "array_contains" not in text and "regexp_extract_all" not in text and text.count("[^\\p{L}]+") == 1
+
+
+def registry_query(spark, name, docs):
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return registry.QUERIES[name](spark, folder)
