@@ -2,8 +2,10 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.operators import corpus
 from tessera.plans import registry
 from tessera.plans.corpus_queries import STOP
 from tessera.sources import storage
@@ -55,3 +57,19 @@ def registry_query(spark, name, docs):
     folder = tempfile.mkdtemp(prefix="spark-")
     docs.write.parquet(f"{folder}/documents.parquet")
     return registry.QUERIES[name](spark, folder)
+
+
+def test_batches_of_texts_are_small(spark):
+    """Workers see few rows at a time, for the operators that send whole texts to Python."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["id"])
+
+    docs = spark.createDataFrame([(1, "One. Two.", "en")], "doc_id long, text string, lang string")
+    for operator in (corpus.chunk_documents, corpus.clean_report):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert operator(docs).count() == 1
+        seen = spark.range(0, 3000, 1, 1).mapInArrow(sizes, "id long")
+        assert max(r.id for r in seen.collect()) <= 512
