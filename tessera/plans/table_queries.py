@@ -178,7 +178,8 @@ def task_machine(read):
     events = read("events").select(F.col("user_id").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), signals[F.col("event_type")].alias("signal"))
     spark, root = events.sparkSession, workspace(read("events").sparkSession, "task-machine")
     for part in (0, 1, 1, 2):
-        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/log")
+        # a file holds all events of its tasks: with more files, and so more batches, no batch meets more tasks
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).repartition("task_id").write.mode("append").parquet(f"{root}/log")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/log")
     tasks.run_tasks(spark, stream, f"{root}/updates", f"{root}/mark", tasks.TaskConfig(expiry=1e9, backoff=1e9, longest=1e9, watermark="400 days"))
     last = tasks.latest_states(spark, f"{root}/updates")

@@ -15,8 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,8 +24,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STATES = {"received": "pending", "started": "processing", "succeeded": "indexed", "failed": "failed", "retried": "retry", "revoked": "revoked"}
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "task_id long, state string, reason string, since timestamp, due timestamp, n_events long, n_retries long, n_failures long"
+#: OUT as the processor gives it: times in microseconds, so that an update costs no conversion of its own.
+_RAW = OUT.replace("timestamp", "long")
 #: Event ids that a task keeps before it looks for some that it can forget.
 MANY = 1000
+_KEPT = ["state", "reason", "at", "id", "due", "n_events", "n_retries", "n_failures", "seen"]
 
 
 @dataclass(frozen=True)
@@ -44,41 +47,41 @@ class TaskMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", "state string, reason string, at long, id long, due long, n_events long, n_retries long, n_failures long")
-        self.seen = handle.getMapState("seen", "id long", "at long")
+        self.task = handle.getValueState("task", "state string, reason string, at long, id long, due long, n_events long, n_retries long, n_failures long, seen binary")
 
-    def _row(self, key, x: dict) -> pd.DataFrame:
-        at = lambda us: pd.to_datetime(pd.Series([us], dtype="Int64"), unit="us", utc=True)
-        return pd.DataFrame({"task_id": [key[0]], "state": [x["state"]], "reason": [x["reason"]], "since": at(x["at"]), "due": at(x["due"]), "n_events": [x["n_events"]], "n_retries": [x["n_retries"]], "n_failures": [x["n_failures"]]})
+    def _row(self, key, x: dict) -> Row:
+        return Row(task_id=key[0], state=x["state"], reason=x["reason"], since=x["at"], due=x["due"], n_events=x["n_events"], n_retries=x["n_retries"], n_failures=x["n_failures"])
 
     def _read(self) -> dict | None:
-        names = ["state", "reason", "at", "id", "due", "n_events", "n_retries", "n_failures"]
-        return dict(zip(names, self.task.get())) if self.task.exists() else None
+        kept = self.task.get()
+        return dict(zip(_KEPT, kept)) if kept is not None else None
 
     def _keep(self, x: dict) -> None:
-        self.task.update(tuple(x.values()))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        x = self._read() or {"state": None, "reason": None, "at": None, "id": None, "due": None, "n_events": 0, "n_retries": 0, "n_failures": 0}
-        before, changed = (x["at"], x["id"]), False
-        for frame in rows:
-            for event, at, state in zip(frame["event_id"], frame["at"], frame["state"]):
-                event, at = int(event), int(at)
-                if self.seen.containsKey((event,)):
-                    continue
-                self.seen.updateValue((event,), (at,))
-                changed = True
-                x["n_events"] += 1
-                x["n_retries"] += state == "retry"
-                x["n_failures"] += state == "failed"
-                if x["at"] is None or (at, event) > (x["at"], x["id"]):
-                    x |= {"at": at, "id": event, "state": state, "reason": None}
-        if not changed:
+        self.task.update(tuple(x[c] for c in _KEPT))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """The state is read once and written once, with the ids seen so far as one array: a call for each event, or a
+        data frame for each task, would take most of the time."""
+        x = self._read() or {"state": None, "reason": None, "at": None, "id": None, "due": None, "n_events": 0, "n_retries": 0, "n_failures": 0, "seen": b""}
+        before = (x["at"], x["id"])
+        held = np.frombuffer(x["seen"], np.int64).reshape(2, -1)  # ids, times
+        known, new = set(held[0].tolist()), {}
+        for row in rows:
+            event, at, state = row["event_id"], row["at"], row["state"]
+            if event in known or event in new:
+                continue
+            new[event] = at
+            x["n_events"] += 1
+            x["n_retries"] += state == "retry"
+            x["n_failures"] += state == "failed"
+            if x["at"] is None or (at, event) > (x["at"], x["id"]):
+                x |= {"at": at, "id": event, "state": state, "reason": None}
+        if not new:
             return
         if (x["at"], x["id"]) != before or x["state"] == "retry":
             self._set_timer(x)
+        x["seen"] = self._remembered(np.concatenate([held, np.array([list(new), list(new.values())], np.int64)], axis=1), timerValues.getCurrentWatermarkInMs())
         self._keep(x)
-        self._forget(timerValues.getCurrentWatermarkInMs())
         yield self._row(key, x)
 
     def _set_timer(self, x: dict) -> None:
@@ -91,15 +94,11 @@ class TaskMachine(StatefulProcessor):
         if x["due"] is not None:
             self.handle.registerTimer(x["due"] // 1000)
 
-    def _forget(self, watermark: int) -> None:
-        """Ids of events that the watermark would drop if they came again."""
-        ids = list(self.seen.iterator())
-        if len(ids) > MANY:
-            for event, at in ids:
-                if at[0] // 1000 < watermark:
-                    self.seen.removeKey(event)
+    def _remembered(self, seen: np.ndarray, watermark: int) -> bytes:
+        """Without the ids of events that the watermark would drop if they came again, once there are MANY."""
+        return (seen if seen.shape[1] <= MANY else seen[:, seen[1] // 1000 >= watermark]).tobytes()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         x = self._read()
         # a timer of an older state has nothing to say
         if x and x["due"] is not None and x["due"] // 1000 == expiredTimerInfo.getExpiryTimeInMs():
@@ -120,7 +119,8 @@ def task_stream(events: DataFrame, config: TaskConfig = TaskConfig()) -> DataFra
     state = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])[F.col("signal")]
     rows = events.select(F.col("task_id").cast("long").alias("task_id"), F.col("event_id").cast("long").alias("event_id"), "ts", F.unix_micros("ts").alias("at"), state.alias("state"))
     rows = rows.where("task_id is not null and event_id is not null and ts is not null and state is not null").withWatermark("ts", config.watermark)
-    return rows.groupBy("task_id").transformWithStateInPandas(TaskMachine(config), OUT, "Update", "eventTime")
+    updates = rows.groupBy("task_id").transformWithState(TaskMachine(config), _RAW, "Update", "eventTime")
+    return updates.withColumns({c: F.timestamp_micros(c) for c in ("since", "due")})
 
 
 def run_tasks(spark: SparkSession, events: DataFrame, target: str, checkpoint: str, config: TaskConfig = TaskConfig()) -> None:

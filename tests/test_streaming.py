@@ -67,3 +67,41 @@ def test_timers(spark, tmp_path):
     found = {k: (r.state, r.reason) for k, r in got.items()}
     assert found == {1: ("pending", "due"), 2: ("failed", "expired"), 3: ("indexed", None), 4: ("indexed", None), 5: ("retry", None), 9: ("pending", None)}
     assert got[5].due == at(490) and got[5].n_retries == 3  # 90 + 100 * 2 * 2
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """However many events of a task come: each call goes to another process."""
+
+    class Value:
+        kept, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, value):
+            self.calls += 1
+            self.kept = value
+
+    class Handle:
+        timers = 0
+
+        def getValueState(self, *_):
+            self.value = Value()
+            return self.value
+
+        def registerTimer(self, _):
+            self.timers += 1
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    handle, machine = Handle(), tasks.TaskMachine(tasks.TaskConfig())
+    machine.init(handle)
+    events = [{"event_id": i % 700, "at": 1000 + i % 700, "state": "retry"} for i in range(1000)]
+    for batch in (events[:500], events[500:]):
+        (row,) = machine.handleInputRows((1,), iter(batch), Now())
+    assert (row["n_events"], row["n_retries"], row["state"]) == (700, 700, "retry")
+    assert handle.value.calls == 4 and handle.timers == 2
+    assert not list(machine.handleInputRows((1,), iter(events), Now()))
