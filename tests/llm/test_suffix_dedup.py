@@ -78,3 +78,24 @@ def test_quicksort():
     order = sd.multikey_quicksort(words)
     rows = [tuple(w[i] for w in words) for i in order]
     assert rows == sorted(rows) and sorted(order) == list(range(9000))
+
+
+def test_many_stretches_of_a_lead(spark):
+    """A phrase in very many surroundings has one lead; its stretches go to several tasks, and the rows stay right."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    phrase = letters(44)
+    rows = [(i, letters(20) + phrase + letters(20)) for i in range(300)] + [(1000 + i, letters(9) + phrase + "same end" + letters(9)) for i in range(50)]
+    rows += [(2000, rows[0][1]), (2001, "x" + rows[1][1]), (2002, rows[2][1] + "x"), (0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    config = sd.RepeatConfig(length=48, group=64)
+    stage = Stage(spark, "many")
+    sorted_ = stage.write(sd._sorted_buckets(stage.write(sd._suffixes(docs, config), "suffixes"), config), "sorted")
+    stretches = sd._with_bytes(docs, sorted_.where("kind = 1"), config)
+    per_task = sd._dealt(stretches).selectExpr("lead", "spark_partition_id() AS task").groupBy("lead", "task").count()
+    per_lead = {r.lead: r for r in per_task.groupBy("lead").agg({"count": "sum", "task": "count"}).collect()}
+    hot = max(per_lead.values(), key=lambda r: r["sum(count)"])
+    assert hot["sum(count)"] > config.group and hot["count(task)"] > 1
+    assert all(r["count(task)"] == 1 for r in per_lead.values() if r["sum(count)"] <= config.group)
+    got = sd.remove_repeats(docs, config, digest=True).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 48), key=key)
