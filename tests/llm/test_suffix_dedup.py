@@ -81,21 +81,26 @@ def test_quicksort():
 
 
 def test_many_stretches_of_a_lead(spark):
-    """A phrase in very many surroundings has one lead; its stretches go to several tasks, and the rows stay right."""
+    """A phrase in very many surroundings has one lead; few of its stretches come to one task, and the rows stay right."""
     rng = np.random.default_rng(5)
     letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
-    phrase = letters(44)
+    phrase, copy = letters(44), letters(90)
     rows = [(i, letters(20) + phrase + letters(20)) for i in range(300)] + [(1000 + i, letters(9) + phrase + "same end" + letters(9)) for i in range(50)]
-    rows += [(2000, rows[0][1]), (2001, "x" + rows[1][1]), (2002, rows[2][1] + "x"), (0, rows[0][1])]
+    rows += [(2000 + i, copy[:i] + "#" + copy[i:]) for i in range(90)] + [(3000 + i, copy[:i] + "+" + copy[i + 1 :]) for i in range(90)]
+    rows += [(4000, rows[0][1]), (4001, "x" + rows[1][1]), (4002, rows[2][1] + "x"), (0, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    config = sd.RepeatConfig(length=48, group=64)
-    stage = Stage(spark, "many")
-    sorted_ = stage.write(sd._sorted_buckets(stage.write(sd._suffixes(docs, config), "suffixes"), config), "sorted")
-    stretches = sd._with_bytes(docs, sorted_.where("kind = 1"), config)
-    per_task = sd._dealt(stretches).selectExpr("lead", "spark_partition_id() AS task").groupBy("lead", "task").count()
-    per_lead = {r.lead: r for r in per_task.groupBy("lead").agg({"count": "sum", "task": "count"}).collect()}
-    hot = max(per_lead.values(), key=lambda r: r["sum(count)"])
-    assert hot["sum(count)"] > config.group and hot["count(task)"] > 1
-    assert all(r["count(task)"] == 1 for r in per_lead.values() if r["sum(count)"] <= config.group)
-    got = sd.remove_repeats(docs, config, digest=True).collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 48), key=key)
+    for length, group in ((48, 4096), (48, 8), (64, 4096)):
+        config, stage = sd.RepeatConfig(length=length, group=group, many=20), Stage(spark, "many")
+        open_ = stage.write(sd._sorted_buckets(stage.write(sd._suffixes(docs, config), "suffixes"), config), "sorted").where("kind = 1")
+        most = lambda d, *by: max(r["count"] for r in d.groupBy(*by).count().collect())
+        assert most(sd._stretches(docs, open_, stage, config)[0], "lead") < most(open_, *sd.WORDS) / 2
+        got = sd.remove_repeats(docs, config, digest=True).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(brute(rows, length), key=key)
+
+
+@pytest.mark.parametrize("seed,length,group", [(5, 40, 4096), (6, 34, 2), (7, 100, 4096), (8, 400, 3)])
+def test_random_pieces(spark, seed, length, group):
+    rows = made(seed, length)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sd.remove_repeats(docs, sd.RepeatConfig(length=length, group=group, many=1), digest=True).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, length), key=key)
